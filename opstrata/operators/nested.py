@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ KERNEL_BYTES = 4 << 20
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most KERNEL_BYTES of text together, or of one longer text."""
     size = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64), out=size[1:])
+    np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64), out=size[1:])
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(size, size[a] + KERNEL_BYTES, "right")) - 1)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def _collapse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for b in batches:
         if not b.num_rows:
             continue
-        same = pa.compute.and_(pa.compute.equal(b.column("entity"), tail(b)[0]), pa.compute.equal(b.column("chunk"), tail(b)[1])).to_numpy(zero_copy_only=False)
+        same = pc.and_(pc.equal(b.column("entity"), tail(b)[0]), pc.equal(b.column("chunk"), tail(b)[1])).to_numpy(zero_copy_only=False)
         cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         if cut or (wait and tail(wait[-1]) != tail(b)):
             yield from _collapse(pa.Table.from_batches([*wait, b.slice(0, cut)]).select(names)).to_batches()
