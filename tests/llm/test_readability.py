@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from opstrata.llm import readability as r
 from opstrata.sources.tables import table
@@ -34,7 +35,7 @@ def test_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "reading_labels")
     even = labels.filter("doc_id % 3 <> 0")
-    judged = labels.filter("doc_id % 3 = 0 and reading_level is not null").distinct().groupBy("doc_id").agg({"reading_level": "median", "rater": "count"}).toDF("doc_id", "level", "n").filter("n >= 3").collect()
+    judged = labels.filter("doc_id % 3 = 0 and reading_level is not null").distinct().groupBy("doc_id").agg(F.median("reading_level").alias("level"), F.count("rater").alias("n")).filter("n >= 3").collect()
     got = {x.doc_id: x.reading_level for x in r.reading_levels(docs, even).collect()}
     hits = [abs(got[x.doc_id] - x.level) for x in judged if x.doc_id in got]
     assert len(hits) > 60 and np.mean(np.array(hits) == 0) >= 0.9 and max(hits) <= 1
