@@ -20,3 +20,17 @@ def running_sum(df: DataFrame, entity: str, place: str, value: Column, name: str
     before = d.groupBy(F.col(entity).alias("_e"), F.col("_chunk").alias("_c")).agg(F.sum("_v").alias("_s")).select("_e", "_c", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"))
     out = inner.join(before, (F.col(entity).eqNullSafe(F.col("_e"))) & (F.col("_chunk").eqNullSafe(F.col("_c"))), "left")
     return out.withColumn(name, F.coalesce("_in", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_v", "_chunk", "_in", "_e", "_c", "_before")
+
+
+def previous(df: DataFrame, entity: str, place: str, value: str, name: str, chunk: int) -> DataFrame:
+    """``df`` with ``name``: ``value`` of the entity's row before this one in order of ``place`` (integer, unique within the entity); null for the first.
+
+    Works by chunks as ``running_sum`` does: within a chunk a lag, at its start the last value of the chunk before.
+    """
+    d = df.withColumn("_chunk", F.floor(F.col(place) / chunk))
+    w = W.partitionBy(entity, "_chunk").orderBy(place)
+    inner = d.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = d.groupBy(F.col(entity).alias("_e"), F.col("_chunk").alias("_c")).agg(F.max_by(F.struct(value), place).alias("_l"))
+    before = last.select("_e", "_c", F.lag("_l").over(W.partitionBy("_e").orderBy("_c")).alias("_b"))
+    out = inner.join(before, (F.col(entity).eqNullSafe(F.col("_e"))) & (F.col("_chunk").eqNullSafe(F.col("_c"))), "left")
+    return out.withColumn(name, F.when(F.col("_first"), F.col(f"_b.{value}")).otherwise(F.col("_lag"))).drop("_chunk", "_lag", "_first", "_e", "_c", "_b")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("problems", "sessions")
+MODULES = ("problems", "sessions", "transcripts")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
