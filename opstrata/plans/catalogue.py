@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("problems", "sessions", "transcripts")
+MODULES = ("problems", "sessions", "transcripts", "metrics")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
