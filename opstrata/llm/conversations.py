@@ -19,6 +19,8 @@ USER, ASSISTANT, SYSTEM = 1, 2, 3
 ROLES = {"user": USER, "human": USER, "assistant": ASSISTANT, "ai": ASSISTANT, "model": ASSISTANT, "system": SYSTEM}
 #: Sequence numbers of a session that one state holds. Bounds the state and spreads a session with most of the lines over many tasks.
 SEGMENT = 512
+#: States for each shuffle partition; segments are spread over them by hash.
+BUCKETS = 32
 #: How long a segment waits for late lines after the newest line it has.
 LATENESS = "1 hour"
 #: Event time of lines without one, and of the mark that ends a replay and closes every segment.
@@ -85,37 +87,49 @@ def place_lines(lines: DataFrame, events: DataFrame) -> DataFrame:
     return lines.join(e, "event_id").withColumn("segment", F.floor(F.col("seq") / SEGMENT)).drop("event_id")
 
 
-_COLUMNS = ["seq", "line_in_event", "line_id", "uuid", "parent_uuid", "role", "readable"]
+_COLUMNS = ["session_id", "segment", "seq", "line_in_event", "line_id", "uuid", "parent_uuid", "role", "readable"]
 
 
-def buffer_segment(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of one segment: its lines so far. New lines are added and set the timeout anew; when the watermark passes it, the segment closes:
-    its lines leave in order, a uuid that recurs at its first place only, and the state is dropped."""
-    if state.hasTimedOut:
-        lines = sorted(json.loads(state.get[0]), key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2]))
-        state.remove()
-        seen: set[str] = set()
-        once = [x for x in lines if x[3] is None or not (x[3] in seen or seen.add(x[3]))]
-        out = pd.DataFrame(once, columns=_COLUMNS)
-        out.insert(0, "session_id", key[0])
-        out.insert(1, "segment", key[1])
-        yield out
-        return
-    lines, newest = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
+def buffer_lines(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State of one bucket of segments: their lines so far, each with its event time in ms.
+
+    New lines are added; the timeout is that of the segment to close first. When the watermark passes it, every segment of the bucket whose newest
+    line is behind the watermark closes: its lines leave in order, a uuid that recurs at its first place only. The others wait on.
+    """
+    lines = json.loads(state.get[0]) if state.exists else []
     for b in batches:
-        lines += [list(x) for x in zip(*(b[c].astype(object).where(b[c].notna(), None).tolist() for c in _COLUMNS), strict=True)]
-        newest = max(newest, int(b["event_time"].max().timestamp() * 1000))
+        times = (b["event_time"].astype("int64") // 1_000_000 if str(b["event_time"].dtype) == "datetime64[ns]" else b["event_time"].astype("datetime64[ms]").astype("int64")).tolist()
+        lines += [list(x) for x in zip(times, *(b[c].astype(object).where(b[c].notna(), None).tolist() for c in _COLUMNS), strict=True)]
     if key[0] is None:
         return  # the mark that ends a replay
-    state.update((json.dumps(lines), newest))
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
+    newest: dict[tuple, int] = {}
+    for x in lines:
+        newest[x[1], x[2]] = max(newest.get((x[1], x[2]), 0), x[0])
+    now = state.getCurrentWatermarkMs()
+    if state.hasTimedOut:
+        ready = sorted((x[1:] for x in lines if newest[x[1], x[2]] <= now), key=lambda x: (x[0], x[1], x[2], x[3] is not None, x[3] or 0, x[4]))
+        seen: set[tuple] = set()
+        out = [x for x in ready if x[5] is None or not ((x[0], x[1], x[5]) in seen or seen.add((x[0], x[1], x[5])))]
+        lines = [x for x in lines if newest[x[1], x[2]] > now]
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+    if lines:
+        state.update((json.dumps(lines),))
+        state.setTimeoutTimestamp(max(min(newest[x[1], x[2]] for x in lines), now + 1))
+    elif state.exists:
+        state.remove()
 
 
-def ordered_lines(placed: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """The stateful operator on a stream of placed lines: lines of closed segments, ordered."""
+def ordered_lines(placed: DataFrame, lateness: str = LATENESS, buckets: int | None = None) -> DataFrame:
+    """The stateful operator on a stream of placed lines: lines of closed segments, ordered.
+
+    Segments share ``buckets`` states, by default BUCKETS for each shuffle partition, as a state costs far more than a line; more buckets, smaller states.
+    """
+    n = buckets or BUCKETS * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.when(F.col("session_id").isNotNull(), F.pmod(F.xxhash64("session_id", "segment"), F.lit(n)))
     return (
-        placed.withWatermark("event_time", lateness).groupBy("session_id", "segment")
-        .applyInPandasWithState(buffer_segment, ORDERED, "lines string, newest bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        placed.withColumn("bucket", bucket).withWatermark("event_time", lateness).groupBy("bucket")
+        .applyInPandasWithState(buffer_lines, ORDERED, "lines string", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
