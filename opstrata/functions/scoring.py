@@ -27,6 +27,12 @@ def impact(z_complexity: Column, z_effort: Column, z_mi: Column) -> Column:
     return a * -z_complexity + b * -z_effort + c * z_mi
 
 
+def impact_percent(z_complexity: Column, z_effort: Column, z_mi: Column) -> Column:
+    """A hundred times ``impact``, in whole numbers if the arguments are."""
+    a, b, c = (round(100 * w) for w in WEIGHTS)
+    return a * -z_complexity + b * -z_effort + c * z_mi
+
+
 def impact_category(score: Column) -> Column:
     return F.when(score > 1.0, "significant_improvement").when(score > 0.5, "minor_improvement").when(score >= -0.5, "neutral").when(score >= -1.0, "minor_degradation").otherwise("significant_degradation")
 
