@@ -25,7 +25,7 @@ def deltas(commits: DataFrame, repo: str = "repo", place: str = "place", metrics
 
 def summary(d: DataFrame, repo: str, value: str, place: str = "n") -> DataFrame:
     """AGG-13/14: mean, sample deviation (0 for one), median, extremes, count and slope over ``place`` (0 without spread), rounded to 6 places."""
-    r = lambda c: F.round(c, 6)
+    r = lambda c: F.round(c, 6) + 0.0  # no negative zero
     x = F.col(value).cast("double")
     slope = F.when(F.count(value) < 2, 0.0).otherwise(F.coalesce(F.regr_slope(x, F.col(place).cast("double")), F.lit(0.0)))
     return d.groupBy(repo).agg(
@@ -71,7 +71,7 @@ def impacts(d: DataFrame, repo: str = "repo", place: str = "place") -> DataFrame
     newest = F.max_by(F.struct(*[f"{m}_delta" for m in METRICS]), place).alias("x")
     b = d.groupBy(repo).agg(*spread, newest, F.max(place).alias(place))
     z = {m: scoring.z_score(F.col(f"x.{m}_delta").cast("double"), F.col(f"{m}_mean"), F.col(f"{m}_sd")) for m in METRICS}
-    b = b.select(repo, place, *[F.round(v, 6).alias(f"z_{m}") for m, v in z.items()])
+    b = b.select(repo, place, *[(F.round(v, 6) + 0.0).alias(f"z_{m}") for m, v in z.items()])
     whole = [F.round(F.col(f"z_{m}") * 1_000_000).cast("bigint") for m in METRICS]  # added as integers, so the sum is exact
     b = b.withColumn("score", scoring.impact_percent(*whole) / 100_000_000)
     return b.withColumn("category", scoring.impact_category(F.col("score")))

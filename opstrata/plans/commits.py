@@ -34,7 +34,7 @@ def _commits(spark: SparkSession, sf: str) -> DataFrame:
 _C = """c as (select o_custkey as repo, o_orderkey as place, o_orderdate as time, complexity, effort, mi from orders join (select l_orderkey, sum(cast(l_quantity as bigint))::bigint as complexity, sum(cast(l_extendedprice as decimal(18,2))) as effort,
  sum(cast(round(l_discount * 100) as bigint))::bigint as mi from lineitem group by 1) on o_orderkey = l_orderkey)"""
 _D = """d as (select * from (select repo, place, lag(place) over w as base, complexity - lag(complexity) over w as complexity_delta, effort - lag(effort) over w as effort_delta, mi - lag(mi) over w as mi_delta from c window w as (partition by repo order by place)) where base is not null)"""
-_STATS = "select repo, round(avg(x), 6) as mean, round(coalesce(stddev_samp(x), 0), 6) as sd, round(median(x), 6) as median, min(x) as least, max(x) as most, count(x) as n, round(case when count(x) < 2 then 0 else coalesce(regr_slope(x, n), 0) end, 6) as trend"
+_STATS = "select repo, round(avg(x), 6) + 0.0 as mean, round(coalesce(stddev_samp(x), 0), 6) as sd, round(median(x), 6) as median, min(x) as least, max(x) as most, count(x) as n, round(case when count(x) < 2 then 0 else coalesce(regr_slope(x, n), 0) end, 6) + 0.0 as trend"
 
 
 @query(f"with {_C}, {_D} select repo, place, base, complexity_delta, effort_delta::double as effort_delta, mi_delta from d")
@@ -48,7 +48,7 @@ def agg13_baseline(spark, sf):
     return H.summary(H.numbered(H.deltas(_commits(spark, sf)), "repo", "place"), "repo", "complexity_delta")
 
 
-_Z = "round(case when {m}_sd < 1e-10 then case when abs({m}_x - {m}_mean) < 1e-10 then 0 else sign({m}_x - {m}_mean) end else ({m}_x - {m}_mean) / {m}_sd end, 6) as z_{m}"
+_Z = "round(case when {m}_sd < 1e-10 then case when abs({m}_x - {m}_mean) < 1e-10 then 0 else sign({m}_x - {m}_mean) end else ({m}_x - {m}_mean) / {m}_sd end, 6) + 0.0 as z_{m}"
 _B = ", ".join(f"avg({m}_delta::double) as {m}_mean, coalesce(stddev_samp({m}_delta::double), 0) as {m}_sd, arg_max({m}_delta, place)::double as {m}_x" for m in H.METRICS)
 
 

@@ -25,3 +25,18 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         root = "file://" + os.path.join(tempfile.gettempdir(), "opstrata-shared")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stream_path(spark: SparkSession, path: str) -> str:
+    """A path the streaming reader takes: a table that is one file must be a pattern, else it is taken for a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one_file = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+    return f"{path[:-1]}[{path[-1]}]" if one_file else path
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The table ``name`` as a stream of its files."""
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(stream_path(spark, f"{sf_dir}/{name}.parquet"))
