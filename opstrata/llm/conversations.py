@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from opstrata.sources.tables import shared_dir
+from opstrata.sources.tables import shared_dir, stream_path
 
 USER, ASSISTANT, SYSTEM = 1, 2, 3
 ROLES = {"user": USER, "human": USER, "assistant": ASSISTANT, "ai": ASSISTANT, "model": ASSISTANT, "system": SYSTEM}
@@ -133,13 +133,6 @@ def ordered_lines(placed: DataFrame, lateness: str = LATENESS, buckets: int | No
     )
 
 
-def _stream_path(spark: SparkSession, path: str) -> str:
-    """A path the streaming reader takes: a table that is one file must be a pattern, else it is taken for a folder."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    one_file = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
-    return f"{path[:-1]}[{path[-1]}]" if one_file else path
-
-
 def replay(spark: SparkSession, path: str, events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """All lines of a table at ``path`` through the stream, until every segment is closed: the written lines of closed segments.
 
@@ -151,7 +144,7 @@ def replay(spark: SparkSession, path: str, events: DataFrame, lateness: str = LA
     mark = [(None, 0, 0, None, None, 0, True, END_OF_REPLAY, None, 0)]
     names = "line_in_event int, seq bigint, line_id bigint, uuid string, parent_uuid string, role tinyint, readable boolean, event_time timestamp, session_id string, segment bigint"
     spark.createDataFrame(mark, names).write.parquet(f"{base}/mark")
-    lines = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_stream_path(spark, path))
+    lines = spark.readStream.schema(spark.read.parquet(path).schema).parquet(stream_path(spark, path))
     stream = place_lines(read_lines(lines), events)
     ends = spark.readStream.schema(spark.read.parquet(f"{base}/mark").schema).parquet(f"{base}/mark")
     provider, used = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
@@ -195,5 +188,6 @@ def validated_turns(lines: DataFrame) -> DataFrame:
     )
     broken = orphans.unionByName(unreadable).distinct()
     kept = judged.filter(f"asked and not twice and not led and ends <> '{USER}'").join(broken, "session_id", "left_anti").select("session_id")
-    numbered = by_segment.join(facts.select("session_id", "segment", "offset"), ["session_id", "segment"]).join(kept, "session_id", "left_semi")
+    # which segments stay is decided on their summary rows; the turns themselves only meet by (session, segment)
+    numbered = by_segment.join(facts.join(kept, "session_id", "left_semi").select("session_id", "segment", "offset"), ["session_id", "segment"])
     return numbered.select("session_id", "offset", F.posexplode("turns").alias("pos", "turn")).select("session_id", (F.col("offset") + F.col("pos") + 1).cast("int").alias("turn_no"), F.col("turn.uuid").alias("uuid"), F.col("turn.role").alias("role"))
