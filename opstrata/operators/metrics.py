@@ -108,7 +108,8 @@ def delta(changes: DataFrame) -> DataFrame:
 def smell_advantage(smells: DataFrame, pair: DataFrame, registry: DataFrame) -> DataFrame:
     """SF-30, JN-16: all smells of a pair with the weighted change of their counts, a smell that isn't counted being 0."""
     base = smells.select(F.col("id").alias("base_id"), "smell", F.col("n").alias("base_n"))
-    full = pair.crossJoin(F.broadcast(registry))  # a constant of 14 rows
+    names = F.array(*[F.lit(s) for s, _, _ in SMELLS])
+    full = pair.select("*", F.explode(names).alias("smell")).join(F.broadcast(registry), "smell")
     d = full.join(smells.select("id", "smell", F.col("n").alias("new_n")), ["id", "smell"], "left").join(base, ["base_id", "smell"], "left")
     change = F.coalesce("new_n", F.lit(0)) - F.coalesce("base_n", F.lit(0))
     return d.select("id", "smell", change.alias("change"), (change * F.col("weight")).alias("weighted_change"))

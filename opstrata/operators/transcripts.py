@@ -114,3 +114,16 @@ def metadata(lines: DataFrame) -> DataFrame:
     d = lines.withColumn("model", F.when(F.lower(F.trim("type")) == "assistant", model))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line")))
     return d.groupBy("session_id").agg(first("version").alias("version"), first("git_branch").alias("git_branch"), first("model").alias("model"), F.count(F.lit(1)).alias("lines"))
+
+
+def compactions_b(transcripts: DataFrame) -> DataFrame:
+    """JN-04 from (session_id, m), m the document with the transcript: user messages with a compaction part that the compacting agent answers next: (session_id, pos, trigger, pre_tokens).
+
+    Neighbours are looked up within the array, so no window is needed.
+    """
+    message = "struct<role:string,agent:string,tokens:struct<input:bigint>,parts:array<struct<type:string,auto:boolean>>>"
+    t = transcripts.select("session_id", F.from_json("m", f"transcript array<{message}>")["transcript"].alias("t"))
+    d = t.select("session_id", "t", F.posexplode("t").alias("pos", "x")).withColumn("next", F.get("t", F.col("pos") + 1))
+    part = F.get(F.filter("x.parts", lambda p: p.type == "compaction"), F.lit(0))
+    d = d.withColumn("part", part).filter("x.role = 'user' and part is not null and next.role = 'assistant' and next.agent = 'compaction'")
+    return d.select("session_id", "pos", F.when(F.coalesce("part.auto", F.lit(False)), "auto").otherwise("manual").alias("trigger"), F.coalesce("next.tokens.input", F.lit(0)).alias("pre_tokens"))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("problems", "sessions", "transcripts", "metrics", "commits", "code", "streams")
+MODULES = ("problems", "sessions", "transcripts", "metrics", "commits", "code", "streams", "reports")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

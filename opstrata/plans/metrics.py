@@ -160,7 +160,7 @@ def cp12_leaderboard(spark, sf):
     """CP-12, WN-14: projects ranked by their newest score; stale if by an older weighting. One row per project is ranked, never the history."""
     b = _latest_scores(spark, sf)
     newest = b.agg(F.max("qpe_weight_version").alias("newest"))
-    d = b.crossJoin(F.broadcast(newest)).withColumn("stale", ~F.col("qpe_weight_version").eqNullSafe(F.col("newest")))  # one row
+    d = b.withColumn("stale", ~F.col("qpe_weight_version").eqNullSafe(newest.scalar()))
     return d.select(F.row_number().over(W.orderBy(F.desc("qpe_score"), "project_path")).alias("rank"), "project_path", "project_name", "qpe_score", "stale")
 
 

@@ -40,8 +40,8 @@ def add_missing(df: DataFrame, columns: dict[str, str], defaults: dict[str, obje
     return df.withColumns({c: F.lit((defaults or {}).get(c)).cast(kind) for c, kind in columns.items() if c not in have})
 
 
-def pending_migrations(ledger: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
-    """SNK-16: migrations (version, description) that a database's ledger lacks, per database_id."""
-    k = ledger.sparkSession.createDataFrame(known, "version string, description string")
-    every = ledger.select("database_id").distinct().crossJoin(F.broadcast(k))  # the known migrations are a constant list
-    return every.join(ledger.select("database_id", "version").distinct(), ["database_id", "version"], "left_anti")
+def pending_migrations(ledger: DataFrame, known: DataFrame) -> DataFrame:
+    """SNK-16: (database_id, version): migrations of ``known`` that a database's ledger lacks. Known versions are one array, as a program has few."""
+    every = known.agg(F.collect_set("version").alias("v")).scalar()
+    have = ledger.groupBy("database_id").agg(F.collect_set("version").alias("have"))
+    return have.select("database_id", F.explode(F.array_except(every, "have")).alias("version"))
