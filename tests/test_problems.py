@@ -261,3 +261,23 @@ def test_normalise_edge_cases(spark):
     got = sorted(map(tuple, instants.normalise(df, hosts, "id", "t").collect()))
     assert got == [(1, 1704034800000000), (4, 1700000000000000)]
     assert instants.normalise(df.limit(0), hosts.limit(0), "id", "t").count() == 0
+
+
+def test_seen_ranges_between_batches(spark):
+    from opstrata.operators import ranges
+
+    rng = random.Random(9)
+    seen, table_ = set(), None
+    for _ in range(3):
+        batch = [(rng.choice("ab"), rng.randrange(200)) for _ in range(60)] + [(None, 1), ("a", None)]
+        df = spark.createDataFrame(batch, "producer string, number long").withColumn("low", F.lit("clash")).drop("low")
+        if table_ is not None:
+            new = {tuple(r) for r in ranges.uncovered(df, table_, 64).collect() if None not in tuple(r)}
+            assert new == {b for b in batch if None not in b and b not in seen}
+        here = ranges.seen_ranges(df, 64)
+        table_ = here if table_ is None else ranges.merge_ranges(table_, here)
+        table_ = spark.createDataFrame(table_.collect(), table_.schema)
+        seen |= {b for b in batch if None not in b}
+        rows = table_.collect()
+        assert {(r.producer, n) for r in rows for n in range(r.low, r.high + 1)} == seen
+        assert all(not (a.producer == b.producer and a.block == b.block and a.low <= b.low <= a.high + 1) for a in rows for b in rows if a is not b)
