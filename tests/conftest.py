@@ -15,6 +15,9 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from opstrata.ship import ship
+
+    ship(s)
     yield s
     s.stop()
 
