@@ -92,3 +92,21 @@ def truncate_path(path: Column, width: int) -> Column:
 def slug(name: Column) -> Column:
     """SF-31."""
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[_ ]", "-"), "[^a-z0-9-]", "")
+
+
+def month_projection(tokens_per_day: Column, day: Column) -> Column:
+    """SF-19: whether a month's goal is met, can still be met in what is left of it, or not."""
+    left = F.lit(DAYS) - day
+    needed = F.lit(TOKENS_PER_MONTH) - tokens_per_day * day
+    return F.when(tokens_per_day * DAYS >= TOKENS_PER_MONTH, "on track").when((left <= 0) | (needed > tokens_per_day * left), "out of reach").otherwise("behind")
+
+
+def baseline_cell(z: Column, invert: bool) -> Column:
+    """SF-24: how far a value is from its baseline, in the direction that is good."""
+    good = -z if invert else z
+    return F.when(good > 1.0, "far above").when(good > 0.5, "above").when(good >= -0.5, "around").when(good >= -1.0, "below").otherwise("far below")
+
+
+def status_mark(status: Column) -> Column:
+    """SF-29: one sign for the status of a todo."""
+    return F.when(status == "completed", "+").when(status == "in_progress", ">").when(status == "pending", ".").otherwise("?")

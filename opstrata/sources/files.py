@@ -40,6 +40,26 @@ def coverage_total(spark: SparkSession, path: str) -> DataFrame:
     return x.select(percent.alias("percent"), F.coalesce(valid, F.lit(0)).cast("bigint").alias("statements"), F.coalesce(covered, F.lit(0)).cast("bigint").alias("covered"))
 
 
+def coverage_database(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-18: (file, executed): executed lines of each file in a coverage database, whose bitmaps have bit k of byte b for line 8 b + k; contexts are united."""
+    read = lambda t: spark.read.format("sqlite_table").option("path", path).option("table", t).load()
+    byte = "cast(conv(hex(substring(numbits, i + 1, 1)), 16, 10) as int)"
+    lines = F.expr(f"flatten(transform(sequence(0, length(numbits) - 1), i -> filter(transform(sequence(0, 7), k -> if(shiftright({byte}, k) & 1 = 1, 8 * i + k, -1)), x -> x >= 0)))")
+    executed = read("line_bits").filter("length(numbits) > 0").select("file_id", F.explode(lines).alias("line")).distinct().groupBy("file_id").agg(F.count(F.lit(1)).alias("executed"))
+    files = read("file").select(F.col("id").alias("file_id"), F.col("path").alias("file"))
+    return files.join(executed, "file_id", "left").select("file", F.coalesce("executed", F.lit(0)).alias("executed"))
+
+
+def coverage(spark: SparkSession, xml: str | None, database: str | None, statements: DataFrame | None = None) -> DataFrame | None:
+    """SRC-19: (percent, source) of the report if there is one, else of the database against the statement counts (file, statements), else None."""
+    if xml is not None:
+        return coverage_total(spark, xml).select("percent", F.lit("xml").alias("source"))
+    if database is None or statements is None:
+        return None
+    d = statements.join(coverage_database(spark, database), "file", "left").agg(F.sum(F.least(F.coalesce("executed", F.lit(0)), "statements")).alias("e"), F.sum("statements").alias("s"))
+    return d.select((F.coalesce(F.try_divide("e", "s"), F.lit(0.0)) * 100).alias("percent"), F.lit("database").alias("source"))
+
+
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """SRC-13: paths of ``new`` that ``old`` lacks or has with other content; removed ones aren't listed. Contents meet as digests."""
     digest = lambda d, n: d.select("path", F.sha2("content", 256).alias(n))

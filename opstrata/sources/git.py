@@ -120,7 +120,7 @@ class SqliteTable(DataSource):
     def schema(self) -> str:
         with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as c:
             columns = c.execute(f'pragma table_info("{self.options["table"]}")').fetchall()
-        return ", ".join(f"`{name}` {'bigint' if 'INT' in kind.upper() else 'double' if kind.upper() in ('REAL', 'DOUBLE', 'FLOAT') else 'string'}" for _, name, kind, *_ in columns)
+        return ", ".join(f"`{name}` {'bigint' if 'INT' in kind.upper() else 'double' if kind.upper() in ('REAL', 'DOUBLE', 'FLOAT') else 'binary' if kind.upper() == 'BLOB' else 'string'}" for _, name, kind, *_ in columns)
 
     def reader(self, schema) -> DataSourceReader:
         return _SqliteReader(self.options)

@@ -47,6 +47,24 @@ def fresh_feedback(stream: DataFrame, project: str = "project", key: str = "feed
     return stream.select(project, key, order).groupBy(project).applyInPandasWithState(filter_repeats, schema, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def without_echo(stream: DataFrame, session: str = "session_id", kind: str = "kind", order: str = "seq") -> DataFrame:
+    """SS-05: events of a session without the idle event that directly follows feedback, as that one only answers it. State is one flag a session."""
+
+    def drop(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending = state.get[0] if state.exists else False
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        keep = []
+        for x in rows[kind]:
+            keep.append(not (pending and x == "idle"))
+            pending = x == "feedback" or (pending and x != "idle")
+        state.update((pending,))
+        yield rows.loc[keep, [session, kind, order]]
+
+    kinds = dict(stream.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (session, kind, order))
+    return stream.select(session, kind, order).groupBy(session).applyInPandasWithState(drop, schema, "pending boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def pair_events(first: DataFrame, second: DataFrame, keys: list[str], time: str, within: str) -> DataFrame:
     """JN-21, SS-04: events of ``first`` with those of ``second`` of equal keys that follow within an interval; state is kept no longer than the watermark needs.
 

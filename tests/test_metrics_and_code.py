@@ -123,3 +123,9 @@ def test_line_counts(spark):
     n, c = code.line_counts(F.col("t"))
     got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(n, c).collect()]
     assert got == [P.line_counts(t) for t in texts]
+
+
+def test_projection_and_marks(spark):
+    assert [one(spark, S.month_projection(L(t), F.lit(d))) for t, d in ((40_000, 10), (10_000, 10), (33_000, 1), (20_000, 29))] == ["on track", "out of reach", "out of reach", "out of reach"]
+    assert [one(spark, S.baseline_cell(L(z), True)) for z in (-2, -0.7, 0, 0.7, 2)] == ["far above", "above", "around", "below", "far below"]
+    assert [one(spark, S.status_mark(F.lit(x))) for x in ("completed", "in_progress", "pending", "x")] == ["+", ">", ".", "?"]

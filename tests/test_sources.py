@@ -116,3 +116,33 @@ def test_import_graph_and_context(spark):
     a = rows["s", "src/a.py"]
     assert (a.imports, a.imports_read, a.dependents, a.dependents_read, a.tests, a.tests_read) == (2, 1, 2, 1, 1, 1) and a.blind_spots == ["pkg/m.py", "src/c.py"]
     assert rows["t", "alone.py"].blind_spots == [] and rows["s", "src/b.py"].blind_spots == ["src/a.py"]
+
+
+def test_coverage_database(spark, tmp_path):
+    p = str(tmp_path / ".coverage")
+    with sqlite3.connect(p) as c:
+        c.execute("create table file (id integer primary key, path text)")
+        c.execute("create table line_bits (file_id integer, context_id integer, numbits blob)")
+        c.executemany("insert into file values (?, ?)", [(1, "a.py"), (2, "b.py")])
+        c.executemany("insert into line_bits values (?, ?, ?)", [(1, 0, bytes([0b00000110, 0b1])), (1, 1, bytes([0b00000100])), (1, 2, b"")])
+    G.register(spark)
+    assert {tuple(r) for r in files.coverage_database(spark, p).collect()} == {("a.py", 3), ("b.py", 0)}
+    statements = spark.createDataFrame([("a.py", 4), ("b.py", 2), ("c.py", 0)], "file string, statements long")
+    assert files.coverage(spark, None, p, statements).first()[:] == (50.0, "database") and files.coverage(spark, None, None) is None
+
+
+def test_project(repo, tmp_path, monkeypatch):
+    from opstrata.sources import project
+
+    s = project.git_state(repo)
+    assert (s["is_git_repo"], s["current_branch"], s["commit_count"], s["has_uncommitted_changes"]) == (True, "main", 5, False) and len(s["commit_sha"]) == 40
+    assert project.identity(repo) is None and project.git_state(str(tmp_path))["is_git_repo"] is False
+    (tmp_path / "pyproject.toml").write_text('[project]\nname = "x"\n')
+    assert project.identity(str(tmp_path)) == ("x", "pyproject")
+    assert project.is_single_project(repo)
+    for k in "ab":
+        (tmp_path / k / ".git").mkdir(parents=True)
+    assert not project.is_single_project(str(tmp_path))
+    with pytest.warns(UserWarning, match="OPSTRATA_NOPE"):
+        assert project.Settings.load({"OPSTRATA_INTERVAL_DAYS": "3", "OPSTRATA_NOPE": "1"}).interval_days == 3
+    assert "- `a`: int" in project.dataset_card("d", [("a", "int")], 3)

@@ -54,3 +54,10 @@ def test_ingestion_sets_bad_rows_aside(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/t").collect()
     assert sorted((r.event_type, r.source, r.duration_ms) for r in rows) == [("Notification", "claude_code", None), ("PostToolUse", "claude_code", 5), ("TodoUpdated", "opencode", None)]
     assert {str(r.day) for r in rows} == {"2025-03-04"} and spark.read.parquet(f"{tmp_path}/q").count() == 3
+
+
+def test_echo_of_feedback_is_dropped(spark, tmp_path):
+    s = parts(spark, f"{tmp_path}/in", "session_id string, kind string, seq int", [("a", "idle", 1), ("a", "feedback", 2)], [("a", "idle", 3), ("a", "idle", 4), ("b", "idle", 1)])
+    state.run_to_end(state.without_echo(s), f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = {(r.session_id, r.seq) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert ("a", 2) in got and ("b", 1) in got and len(got) == 4 and (("a", 3) not in got or ("a", 1) not in got)
