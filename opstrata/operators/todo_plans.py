@@ -70,16 +70,22 @@ def steps(hook_events: DataFrame) -> DataFrame:
 
 
 def evolution(step_rows: DataFrame) -> DataFrame:
-    """AGG-16, CP-02 per session: todos ever created and completed, their ratio, events per step, share of exploring."""
-    final = F.transform(F.filter("last_todos", lambda t: t.status == "completed"), lambda t: t.content)
-    d = step_rows.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("n_steps"), F.max_by("todos", "step").alias("last_todos"), F.array_distinct(F.flatten(F.collect_list(F.array_union("added", "changed")))).alias("created"),
-        F.array_distinct(F.flatten(F.collect_list("completed"))).alias("done"), F.sum("events").alias("events"), F.sum("search").alias("search"), F.sum("implementation").alias("implementation"),
-    )
-    created, done = F.size(F.array_union("created", F.transform("last_todos", lambda t: t.content))), F.size(F.array_union("done", final))
-    return d.select(
-        "session_id", "n_steps", created.alias("n_created"), done.alias("n_completed"), F.coalesce(F.try_divide(done, created), F.lit(0.0)).alias("efficiency"), (F.col("events") / F.col("n_steps")).alias("events_per_step"),
-        F.coalesce(F.try_divide(F.col("search") * 100, F.col("search") + F.col("implementation")), F.lit(0.0)).alias("exploration_percent"),
+    """AGG-16, CP-02 per session: todos ever created and completed, their ratio, events per step, share of exploring.
+
+    A todo is completed if its status ever changed to completed or is so at the end. Todos are counted as rows by (session, content), so no
+    task gathers all todos of a session.
+    """
+    figures = step_rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_steps"), F.max("step").alias("last_step"), *[F.sum(c).alias(c) for c in ("events", "search", "implementation")])
+    none = F.array().cast("array<string>")
+    final = F.transform(F.filter("todos", lambda t: t.status == "completed"), lambda t: t.content)
+    d = step_rows.join(figures.select("session_id", "last_step"), "session_id").select("session_id", F.array_union("added", "changed").alias("created"), F.array_union("completed", F.when(F.col("step") == F.col("last_step"), final).otherwise(none)).alias("done"))
+    each = lambda c, done: d.select("session_id", F.explode(c).alias("content"), F.lit(done).alias("done"))
+    todos = each("created", 0).unionByName(each("done", 1)).groupBy("session_id", "content").agg(F.max("done").alias("done"))
+    n = todos.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_created"), F.sum("done").alias("n_completed"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return figures.join(n, "session_id", "left").select(
+        "session_id", "n_steps", zero("n_created").alias("n_created"), zero("n_completed").alias("n_completed"), F.coalesce(F.try_divide("n_completed", "n_created"), F.lit(0.0)).alias("efficiency"),
+        (F.col("events") / F.col("n_steps")).alias("events_per_step"), F.coalesce(F.try_divide(F.col("search") * 100, F.col("search") + F.col("implementation")), F.lit(0.0)).alias("exploration_percent"),
     )
 
 
