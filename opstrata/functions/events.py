@@ -21,8 +21,6 @@ IMPLEMENTATION_TOOLS = (
 PLUGIN_EVENTS = {
     "tool_start": "PreToolUse", "tool_end": "PostToolUse", "message": "MessageUpdated", "todo": "TodoUpdated", "stop": "Stop", "subagent_start": "SubagentStart", "subagent_stop": "SubagentStop",
 }
-# Tools with a type of their own, as spelled by the types; any other mcp__ name is mcp__other, the rest Other.
-OTHER_TYPES = ("Task",)
 DEFAULT_SOURCE = "claude_code"
 
 

@@ -18,10 +18,13 @@ COUNTS = (
 MEASURES = ("volume", "difficulty", "effort", "mi")
 # The patterns that comments are sorted by.
 TODO = re.compile(r"\b(TODO|FIXME|XXX|HACK)\b", re.I)
-URL = re.compile(r"https?://\S+")
+URL = re.compile(r"https?://")
 TICKET = re.compile(r"[A-Z]+-\d+|#\d+")
 TYPE_IGNORE = re.compile(r"#\s*type:\s*ignore")
-JUSTIFIED = re.compile(r"^#\s*(NOTE|REASON|WARNING|WHY|BECAUSE|IMPORTANT|noqa|pragma|pylint|fmt|type|!)", re.I)
+JUSTIFIED = re.compile(r"#\s*(NOTE|REASON|WARNING|WORKAROUND|IMPORTANT|CAVEAT|HACK|NB|PERF|SAFETY|COMPAT):", re.I)
+SKIP_DECORATORS = ("pytest.mark.skip", "pytest.mark.skipif", "unittest.skip", "unittest.skipIf")
+SKIP_CALLS = ("pytest.skip", "pytest.skipif")
+DEPRECATED = ("deprecated", "warnings.deprecated", "typing.deprecated", "typing_extensions.deprecated")
 _WORD = re.compile(r"\w+|[^\w\s]")
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -67,7 +70,7 @@ def is_test_path(path: str) -> bool:
 
 
 def type_names(node: ast.AST | None) -> list[str]:
-    """The names an annotation refers to; texts are read as annotations of their own."""
+    """The names an annotation refers to, a text being one name."""
     out, todo = [], [node]
     while todo:
         n = todo.pop()
@@ -79,13 +82,10 @@ def type_names(node: ast.AST | None) -> list[str]:
             todo += [n.value, n.slice]
         elif isinstance(n, ast.BinOp):
             todo += [n.left, n.right]
-        elif isinstance(n, ast.Tuple | ast.List):
+        elif isinstance(n, ast.Tuple):
             todo += n.elts
         elif isinstance(n, ast.Constant) and isinstance(n.value, str):
-            try:
-                todo.append(ast.parse(n.value, mode="eval").body)
-            except SyntaxError:
-                out.append(n.value)
+            out.append(n.value)
     return out
 
 
@@ -94,23 +94,20 @@ def _idle(body: list[ast.stmt]) -> bool:
 
 
 def _wraps(f: ast.FunctionDef | ast.AsyncFunctionDef) -> bool:
-    """The body, a docstring aside, only returns a call with the function's own parameters in their order."""
-    body = f.body[1:] if ast.get_docstring(f) is not None else f.body
+    """The body, a docstring aside, only returns a call whose names are the function's own parameters in their order."""
+    body = f.body[1:] if ast.get_docstring(f) else f.body
     if len(body) != 1 or not isinstance(body[0], ast.Return) or not isinstance(body[0].value, ast.Call):
         return False
     own = [a.arg for a in f.args.args if a.arg not in ("self", "cls")]
-    given = body[0].value
-    return bool(own) and not given.keywords and [getattr(a, "id", None) for a in given.args] == own
+    return bool(own) and [a.id for a in body[0].value.args if isinstance(a, ast.Name)] == own
 
 
-def _deprecated(n: ast.AST) -> bool:
-    if isinstance(n, ast.Call) and dotted(n.func) in ("warnings.warn", "warn"):
-        return any(dotted(a).endswith("DeprecationWarning") for a in [*n.args, *(k.value for k in n.keywords)])
-    return False
-
-
-def _skip(name: str) -> bool:
-    return name in ("pytest.skip", "pytest.skipif") or name.startswith(("pytest.mark.skip", "unittest.skip"))
+def _deprecated(n: ast.Call) -> bool:
+    """A warning of a deprecation, as second argument or by keyword."""
+    if dotted(n.func) != "warnings.warn":
+        return False
+    categories = [*n.args[1:2], *(k.value for k in n.keywords if k.arg == "category")]
+    return any("DeprecationWarning" in dotted(c).split(".")[-1] for c in categories)
 
 
 def _scopes(tree: ast.Module):
@@ -129,12 +126,11 @@ def features(tree: ast.Module, path: str = "") -> Counter:
     c: Counter = Counter()
     for n, deep, typing in _scopes(tree):
         if isinstance(n, (*_FUNCTIONS, ast.ClassDef)):
-            c["docstrings"] += ast.get_docstring(n) is not None
+            c["docstrings"] += bool(ast.get_docstring(n))
             for d in n.decorator_list:
                 name = dotted(d.func if isinstance(d, ast.Call) else d)
-                c["deprecations"] += name.split(".")[-1] == "deprecated"
-                if not isinstance(d, ast.Call):
-                    c["test_skip"] += _skip(name)
+                c["deprecations"] += name in DEPRECATED
+                c["test_skip"] += name in SKIP_DECORATORS
         if isinstance(n, _FUNCTIONS):
             c["functions"] += 1
             args = [a for a in n.args.args if a.arg not in ("self", "cls")]
@@ -164,11 +160,11 @@ def features(tree: ast.Module, path: str = "") -> Counter:
             c["deprecations"] += _deprecated(n)
             c["dict_get_with_default"] += isinstance(n.func, ast.Attribute) and n.func.attr == "get" and (len(n.args) >= 2 or any(k.arg == "default" for k in n.keywords))
             c["hasattr_getattr"] += name in ("hasattr", "getattr")
-            c["test_skip"] += _skip(name)
+            c["test_skip"] += name in SKIP_CALLS
             c["dynamic_execution"] += name in ("eval", "exec", "compile")
             c["sys_path_manipulation"] += name in ("sys.path.append", "sys.path.insert", "sys.path.extend", "sys.path.remove")
     if path.rsplit("/", 1)[-1] == "__init__.py":
-        rest = [s for s in tree.body if not isinstance(s, ast.Import | ast.ImportFrom | ast.Pass) and not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant)) and not (isinstance(s, ast.Assign) and any(dotted(t) == "__all__" for t in s.targets))]
+        rest = [s for s in tree.body if not isinstance(s, ast.Import | ast.ImportFrom | ast.Pass) and not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str)) and not (isinstance(s, ast.Assign) and any(dotted(t) == "__all__" for t in s.targets))]
         c["nonempty_init"] += bool(rest)
     return c
 

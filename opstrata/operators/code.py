@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from opstrata.functions import python_code as P
 
 # Directories that hold no sources of their own, file types of the languages that are known.
-IGNORED = (".git", ".venv", "venv", "env", "__pycache__", "node_modules", "dist", "build", "target", ".tox", ".mypy_cache", ".pytest_cache")
-LANGUAGES = {"py": "python", "rs": "rust", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "c": "c", "cpp": "cpp", "rb": "ruby", "kt": "kotlin", "swift": "swift"}
-SUPPORTED = ("python", "rust")
+IGNORED = (
+    "__pycache__", ".venv", "venv", "env", ".env", "site-packages", "dist", "build", ".eggs", ".pytest_cache", ".tox", ".nox", ".hypothesis", ".mypy_cache", ".ruff_cache", ".pytype", "htmlcov", ".coverage",
+    ".ipynb_checkpoints", ".idea", ".vscode", "target", ".cargo", ".git",
+)
+LANGUAGES = {"py": "python", "rs": "rust", "go": "Go", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript"}
 RECORD = ", ".join([f"{c} bigint" for c in P.COUNTS] + [f"{m} double" for m in P.MEASURES])
 LINE_END = r"\r\n|\n|\r"
 
@@ -39,11 +41,11 @@ def comment_rows(files: DataFrame, path: str = "path", content: str = "content")
 
 
 def comment_kind(c: Column, in_test: Column) -> Column:
-    tracked = c.rlike(r"https?://\S+") | c.rlike(r"[A-Z]+-\d+|#\d+")
-    justified = c.rlike(r"(?i)^#\s*(NOTE|REASON|WARNING|WHY|BECAUSE|IMPORTANT|noqa|pragma|pylint|fmt|type|!)")
+    tracked = c.rlike(r"https?://") | c.rlike(r"[A-Z]+-\d+|#\d+")
+    justified = c.rlike(r"(?i)#\s*(NOTE|REASON|WARNING|WORKAROUND|IMPORTANT|CAVEAT|HACK|NB|PERF|SAFETY|COMPAT):")
     return (
         F.when(c.rlike(r"#\s*type:\s*ignore"), "type_ignore").when(c.rlike(r"(?i)\b(TODO|FIXME|XXX|HACK)\b"), F.when(tracked, "todo").otherwise("untracked_todo"))
-        .when(in_test | c.rlike(r"https?://\S+") | justified, "justified").otherwise("orphan_comment")
+        .when(in_test | c.rlike(r"https?://") | justified, "justified").otherwise("orphan_comment")
     )
 
 
@@ -106,13 +108,19 @@ def edges(imported: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def test_files(sources: DataFrame, all_files: DataFrame) -> DataFrame:
-    """JN-09: (path, test): files under a tests folder or named so that test a source, by names. The theta join becomes an equality on the base name."""
-    stem = lambda p: F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.py$", "")
+    """JN-09: (path, test): a file tests a source if it has one of four names made from the source's, or lies in ``tests/`` with ``test_<name>`` somewhere in its path.
+
+    Instead of comparing every file with every source, each test file tells all names it may test: what follows any ``test_`` in its path, at every length.
+    These are as many as the path has characters, and meet the sources by equality.
+    """
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    s = sources.select("path").distinct().withColumn("name", stem)
     t = all_files.select(F.col("path").alias("test")).distinct()
-    named = F.col("test").rlike(r"(^|/)tests?/") | stem(F.col("test")).rlike(r"^test_|_test$")
-    t = t.filter(named).withColumn("stem", F.regexp_replace(stem(F.col("test")), r"^test_|_test$", ""))
-    s = sources.select("path").distinct().withColumn("stem", stem(F.col("path")))
-    return s.join(t, "stem").filter("path <> test").select("path", "test")
+    after = F.when(F.col("test").startswith("tests/"), F.regexp_extract_all("test", F.lit("(?=test_(.*))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    prefixes = F.flatten(F.transform(after, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda n: F.left(x, n))))
+    named = F.array_compact(F.array(*[F.nullif(F.regexp_extract("test", p, 1), F.lit("")) for p in (r"^tests?/test_([^/]+)\.py$", r"^tests/([^/]+)_test\.py$", r"^test_([^/]+)\.py$")]))
+    t = t.select("test", F.explode(F.array_distinct(F.concat(prefixes, named))).alias("name"))
+    return s.join(t, "name").select("path", "test").distinct()
 
 
 def coverage(edited: DataFrame, read: DataFrame, graph: DataFrame, tests: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def recent(events: DataFrame, limit: int, directory: str | None = None) -> DataF
     return events.groupBy("session_id").agg(F.min(canonical_time(F.col("timestamp"))).alias("first_time")).orderBy(F.desc_nulls_last("first_time"), "session_id").limit(limit)
 
 
-def git_states(events: DataFrame) -> list[Column]:
+def git_states() -> list[Column]:
     """WN-04: first and last known state of the repository, and the commits made in between (0 unless both are repositories, never less)."""
     known = F.when(F.col("git_state").isNotNull(), F.col("sequence_number"))
     first, last = F.min_by("git_state", known), F.max_by("git_state", known)
@@ -76,7 +76,7 @@ def first_attributes() -> list[Column]:
 def statistics(events: DataFrame) -> DataFrame:
     """CP-01: all of a session's figures in one aggregation, for all sessions at once."""
     return events.groupBy("session_id").agg(
-        *header_aggregates(), *git_states(events), *first_attributes(), F.count_distinct("tool_type").alias("n_tools"),
+        *header_aggregates(), *git_states(), *first_attributes(), F.count_distinct("tool_type").alias("n_tools"),
         F.count_if(F.col("event_type") == "PreToolUse").alias("n_pre"), F.count_if(F.col("event_type") == "PostToolUse").alias("n_post"), F.count_if(F.col("event_type") == "Stop").alias("n_stop"),
     )
 

@@ -49,8 +49,8 @@ def ca02_token_counts(spark, sf):
 
 
 @query(f"""with l as (select doc_id, unnest(string_split_regex(content, '\\r\\n|\\n|\\r')) as t, generate_subscripts(string_split_regex(content, '\\r\\n|\\n|\\r'), 1) as line from {_SRC}), c as (select doc_id, line, regexp_extract(t, '^[^''"#]*(#.*)$', 1) as c from l)
- select doc_id, case when regexp_matches(c, '#\\s*type:\\s*ignore') then 'type_ignore' when regexp_matches(c, '(?i)\\b(TODO|FIXME|XXX|HACK)\\b') then case when regexp_matches(c, 'https?://\\S+') or regexp_matches(c, '[A-Z]+-\\d+|#\\d+') then 'todo' else 'untracked_todo' end
- when regexp_matches(c, 'https?://\\S+') or regexp_matches(c, '(?i)^#\\s*(NOTE|REASON|WARNING|WHY|BECAUSE|IMPORTANT|noqa|pragma|pylint|fmt|type|!)') then 'justified' else 'orphan_comment' end as kind, count(*) as n from c where c <> '' group by 1, 2""")
+ select doc_id, case when regexp_matches(c, '#\\s*type:\\s*ignore') then 'type_ignore' when regexp_matches(c, '(?i)\\b(TODO|FIXME|XXX|HACK)\\b') then case when regexp_matches(c, 'https?://') or regexp_matches(c, '[A-Z]+-\\d+|#\\d+') then 'todo' else 'untracked_todo' end
+ when regexp_matches(c, 'https?://') or regexp_matches(c, '(?i)#\\s*(NOTE|REASON|WARNING|WORKAROUND|IMPORTANT|CAVEAT|HACK|NB|PERF|SAFETY|COMPAT):') then 'justified' else 'orphan_comment' end as kind, count(*) as n from c where c <> '' group by 1, 2""")
 def sf02_comment_kinds(spark, sf):
     rows = C.comment_rows(_sources(spark, sf))
     id_of = F.regexp_extract("path", r"src/(-?\d+)\.py", 1).cast("bigint").alias("doc_id")
@@ -58,17 +58,24 @@ def sf02_comment_kinds(spark, sf):
 
 
 @query(f"""with {_PATHS} select path, case lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) when 'py' then 'python' when 'rs' then 'rust' end as language, starts_with(list_last(string_split(path, '/')), 'test_') or contains(path, '/tests/') as is_test,
- len(list_intersect(string_split(path, '/'), ['build', 'dist', 'env', 'venv', 'target'])) > 0 as ignored, list_last(string_split(path, '/')) as name from p""")
+ len(list_intersect(string_split(path, '/'), ['build', 'dist', 'env', 'venv', 'target', 'site-packages'])) > 0 as ignored, list_last(string_split(path, '/')) as name from p""")
 def pf12_paths(spark, sf):
     """PF-11/12, SF-03/05: what a path tells."""
     return _paths(spark, sf).select("path", C.language(F.col("path")).alias("language"), C.is_test_path(F.col("path")).alias("is_test"), C.ignored(F.col("path")).alias("ignored"), F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
-@query(f"""with {_PATHS}, s as (select path, regexp_replace(list_last(string_split(path, '/')), '\\.py$', '') as stem from p), t as (select path as test, regexp_replace(stem, '^test_|_test$', '', 'g') as stem from s where regexp_matches(path, '(^|/)tests?/') or regexp_matches(stem, '^test_|_test$'))
- select path, test from s join t using (stem) where path <> test""")
+_TESTS = "s as (select path, regexp_replace(list_last(string_split(path, '/')), '\\.[^.]*$', '') as name from p), t as (select distinct regexp_replace(path, '^tests/', 'tests/test_') as test from p)"
+
+
+def tests_of(sources: DataFrame, paths: DataFrame) -> DataFrame:
+    """Test files of sources; the paths under tests/ stand for test files, with the prefix that these have."""
+    return C.test_files(sources, paths.select(F.regexp_replace("path", "^tests/", "tests/test_").alias("path")))
+
+
+@query(f"""with {_PATHS}, {_TESTS} select path, test from s, t where test in ('tests/test_' || name || '.py', 'test/test_' || name || '.py', 'tests/' || name || '_test.py', 'test_' || name || '.py') or (starts_with(test, 'tests/') and contains(test, 'test_' || name))""")
 def jn09_test_files(spark, sf):
     p = _paths(spark, sf)
-    return C.test_files(p, p)
+    return tests_of(p, p)
 
 
 @query(f"""with {_PATHS}, m as (select replace(regexp_replace(path, '\\.py$', ''), '/', '.') as module, path from p) select module || '.thing' as module, path as target from m where not contains(path, '/__init__')""")

@@ -64,15 +64,14 @@ def jn12_edited_tokens(spark, sf):
     return e.join(known, "path", "left").groupBy("session_id").agg(F.count(F.lit(1)).alias("n_edited"), F.count("known").alias("n_known"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))
 
 
-@query(f"""{_READS}, {_PATHS}, s as (select path, regexp_replace(list_last(string_split(path, '/')), '\\.py$', '') as stem from p), t as (select path as test, regexp_replace(stem, '^test_|_test$', '', 'g') as stem from s where regexp_matches(path, '(^|/)tests?/') or regexp_matches(stem, '^test_|_test$')),
- e as (select distinct session_id, path, regexp_replace(list_last(string_split(path, '/')), '\\.py$', '') as stem from g where first_edit is not null)
- select distinct e.session_id, test from e join t using (stem) where e.path <> test and not exists (select 1 from g where g.session_id = e.session_id and g.path = test and g.first_read is not null)""")
+@query(f"""{_READS}, {_PATHS}, {code_plans._TESTS.split(", t as")[0].replace("from p)", "from (select distinct path from g where first_edit is not null))")}, t as{code_plans._TESTS.split(", t as")[1]}
+ select distinct g.session_id, test from g join s using (path) join t on starts_with(test, 'tests/') and contains(test, 'test_' || name) where first_edit is not null and not exists (select 1 from g h where h.session_id = g.session_id and regexp_replace(h.path, '^tests/', 'tests/test_') = test and h.first_read is not null)""")
 def jn15_unread_tests(spark, sf):
     """JN-15: tests of edited files that the session didn't read."""
     r = transcript_plans._reads(spark, sf)
     e = r.filter("first_edit is not null").select("session_id", "path")
-    tests = C.test_files(e, code_plans._paths(spark, sf))
-    read = r.filter("first_read is not null").select("session_id", F.col("path").alias("test"))
+    tests = code_plans.tests_of(e, code_plans._paths(spark, sf))
+    read = r.filter("first_read is not null").select("session_id", F.regexp_replace("path", "^tests/", "tests/test_").alias("test"))
     return e.join(tests, "path").select("session_id", "test").distinct().join(read, ["session_id", "test"], "left_anti")
 
 

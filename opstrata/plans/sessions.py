@@ -98,8 +98,7 @@ def wn01_sequence_numbers(spark, sf):
 @query(f"""select session_id, gf.commit_count as first_commit_count, gl.commit_count as last_commit_count, gl.current_branch as last_branch, coalesce({_GIT}, 0) as commits_made from
  (select session_id, arg_min(git_state, sequence_number) filter (where git_state is not null) as gf, arg_max(git_state, sequence_number) filter (where git_state is not null) as gl from hook_events group by 1)""")
 def wn04_git_states(spark, sf):
-    e = _events(spark, sf, "sequence_number", "git_state")
-    return e.groupBy("session_id").agg(*S.git_states(e))
+    return _events(spark, sf, "sequence_number", "git_state").groupBy("session_id").agg(*S.git_states())
 
 
 _FIRST = """select session_id, coalesce(working_directory, 'Unknown') as working_directory, project_name, case when project_name is not null then project_source end as project_source, transcript_path from

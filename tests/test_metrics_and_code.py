@@ -94,8 +94,8 @@ def smells(text, path="src/x.py"):
         ("def f():\n    import os\n", "inline_import", 1), ("import os\nfrom typing import TYPE_CHECKING\nif TYPE_CHECKING:\n    import b\n", "inline_import", 0), ("d.get('a', 1)\nd.get('a')\nd.get('a', default=2)\n", "dict_get_with_default", 2),
         ("hasattr(a, 'b') or getattr(a, 'c')\n", "hasattr_getattr", 2), ("import pytest\n@pytest.mark.skip\ndef test_a():\n    pytest.skip('x')\n", "test_skip", 2), ("try:\n    f()\nexcept E:\n    pass\nexcept F:\n    x = 1\nexcept G:\n    raise\n", "swallowed_exception", 2),
         ("eval('1'); exec('2'); a.eval()\n", "dynamic_execution", 2), ("class A:\n    def __init__(self): ...\n    def m(self): ...\n", "single_method_class", 1), ("class A(B, C, D): ...\n", "deep_inheritance", 1),
-        ("def f(a, b):\n    return g(a, b)\n", "passthrough_wrapper", 1), ("def f(a, b):\n    return g(b, a)\n", "passthrough_wrapper", 0), ("import sys\nsys.path.append('x')\nsys.path = []\nsys.path += []\n", "sys_path_manipulation", 3),
-        ("x = 1  # plain words\n# NOTE: why\n# see https://x.y\n", "orphan_comment", 1), ("# TODO later\n# TODO AB-12 later\n# fixme #7\n", "untracked_todo", 1), ("x = 1  # type: ignore\ny = '# type: ignore'\n", "type_ignore", 1),
+        ("def f(a, b):\n    return g(a, b)\n", "passthrough_wrapper", 1), ("def f(a, b):\n    return g(b, a)\n", "passthrough_wrapper", 0), ("@unittest.skipIf(x)\ndef f(): ...\nunittest.skip(1)\n", "test_skip", 1), ("def f(x: 'list[Any]', y: str | None, z: dict[str, Any]): ...\n", "type_refs", 5), ("import sys\nsys.path.append('x')\nsys.path = []\nsys.path += []\n", "sys_path_manipulation", 3),
+        ("x = 1  # plain words\n# NOTE: why\n# note without colon\n# see https://x.y\n", "orphan_comment", 2), ("# TODO later\n# TODO AB-12 later\n# fixme #7\n", "untracked_todo", 1), ("x = 1  # type: ignore\ny = '# type: ignore'\n", "type_ignore", 1),
         ("import warnings\n@deprecated\ndef f():\n    warnings.warn('x', DeprecationWarning)\n", "deprecations", 2),
     ],
 )

@@ -110,6 +110,9 @@ def test_import_graph_and_context(spark):
     assert {tuple(r) for r in g.collect()} == {("src/a.py", "src/b.py"), ("src/a.py", "pkg/m.py"), ("src/c.py", "src/a.py"), ("tests/test_a.py", "src/a.py")}
     tests = code.test_files(df, df)
     assert ("src/a.py", "tests/test_a.py") in {tuple(r) for r in tests.collect()}
+    every = spark.createDataFrame([("tests/test_a.py",), ("test/test_a.py",), ("tests/a_test.py",), ("test_a.py",), ("tests/unit/test_ab_c.py",), ("other/test_a.py",), ("tests/x.py",)], "path string")
+    got = {(r.path, r.test) for r in code.test_files(spark.createDataFrame([("src/a.py",), ("ab.py",), ("src/c.py",)], "path string"), every).collect()}
+    assert got == {("src/a.py", t) for t in ("tests/test_a.py", "test/test_a.py", "tests/a_test.py", "test_a.py", "tests/unit/test_ab_c.py")} | {("ab.py", "tests/unit/test_ab_c.py")}
     edited = spark.createDataFrame([("s", "src/a.py"), ("s", "src/b.py"), ("t", "alone.py")], "session_id string, path string")
     read = spark.createDataFrame([("s", "src/b.py"), ("s", "src/b.py"), ("s", "tests/test_a.py")], "session_id string, path string")
     rows = {(r.session_id, r.path): r for r in code.coverage(edited, read, g, tests).collect()}
