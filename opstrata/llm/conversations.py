@@ -72,10 +72,11 @@ def _read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
-    """The columns of LINE from transcript lines; texts end here and aren't shuffled. Works on streams too."""
+    """The columns of LINE from transcript lines; texts end here and aren't shuffled. Works on streams too. A line without number or place gets -1, so comes first."""
+    number = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.lit(-1).cast(kind)).alias(c)
     time = F.coalesce(F.try_to_timestamp("timestamp"), F.lit(NO_TIME))
     d = lines.select(
-        F.col("event_id").cast("bigint").alias("event_id"), F.col("line_in_event").cast("int").alias("line_in_event"), F.col("line_id").cast("bigint").alias("line_id"),
+        F.col("event_id").cast("bigint").alias("event_id"), number("line_in_event", "int"), number("line_id", "bigint"),
         F.col("uuid").cast("string").alias("uuid"), F.col("parent_uuid").cast("string").alias("parent_uuid"), "type", "message", time.alias("event_time"),
     )
     return d.mapInArrow(_read_lines, LINE)
@@ -107,7 +108,7 @@ def buffer_lines(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         newest[x[1], x[2]] = max(newest.get((x[1], x[2]), 0), x[0])
     now = state.getCurrentWatermarkMs()
     if state.hasTimedOut:
-        ready = sorted((x[1:] for x in lines if newest[x[1], x[2]] <= now), key=lambda x: (x[0], x[1], x[2], x[3] is not None, x[3] or 0, x[4]))
+        ready = sorted((x[1:] for x in lines if newest[x[1], x[2]] <= now), key=lambda x: x[:5])
         seen: set[tuple] = set()
         out = [x for x in ready if x[5] is None or not ((x[0], x[1], x[5]) in seen or seen.add((x[0], x[1], x[5])))]
         lines = [x for x in lines if newest[x[1], x[2]] > now]
@@ -168,7 +169,7 @@ def validated_turns(lines: DataFrame) -> DataFrame:
     and summed up in one row; only these rows meet over a session, so no task holds the lines of a long session.
     """
     place = ["seq", "line_in_event", "line_id"]
-    recurs = F.row_number().over(W.partitionBy("session_id", F.coalesce("uuid", F.concat(F.lit("line "), F.col("line_id").cast("string")))).orderBy(*place))
+    recurs = F.row_number().over(W.partitionBy("session_id", F.coalesce("uuid", F.concat_ws(" ", F.lit("line"), *[F.col(c).cast("string") for c in place]))).orderBy(*place))
     parents = lines.filter("parent_uuid is not null").select("session_id", F.col("parent_uuid").alias("uuid")).distinct()
     orphans = parents.join(lines.select("session_id", "uuid"), ["session_id", "uuid"], "left_anti").select("session_id", F.lit(True).alias("broken"))
     unreadable = lines.filter("not readable").select("session_id", F.lit(True).alias("broken"))

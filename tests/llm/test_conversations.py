@@ -63,11 +63,15 @@ def test_edge_cases(spark, tmp_path, monkeypatch, segment):
     last = events[5][0]
     lines.append((3, last, 7, None, json.dumps(U), "good-1", None, None))  # a uuid again, at a later place
     lines.append((4, last, 8, None, json.dumps(A), "good-9", None, "2025-01-01T00:00:00Z"))
+    for k, (u, parent) in enumerate([("n-0", None), (None, "n-0"), (None, None)]):  # lines without uuid, number or place; one is repeated as it is
+        events.append((9000 + k, "nulls", k))
+        lines += [(None, 9000 + k, None, "User" if k == 0 else "AI", json.dumps(U), u, parent, None)]
+    lines.append((None, None, None, None, None, None, None, None))
     df = spark.createDataFrame(lines, "line_id long, event_id long, line_in_event int, type string, message string, uuid string, parent_uuid string, timestamp string")
     df.repartition(3).write.parquet(f"{tmp_path}/t")
     ev = spark.createDataFrame(events + events[:2], "id long, session_id string, sequence_number int")
     got = {tuple(r)[:3] for r in c.validated_turns(c.replay(spark, f"{tmp_path}/t", ev)).collect()}
-    want = brute([(x[1], x[2], x[0], x[3], x[4], x[5], x[6]) for x in lines], {e[0]: e[1:] for e in events})
+    want = brute([(x[1], -1 if x[2] is None else x[2], -1 if x[0] is None else x[0], x[3], x[4], x[5], x[6]) for x in lines], {e[0]: e[1:] for e in events})
     assert got == want
-    assert {s for s, _, _ in got} == {"good", "blank user", "parts", "null message", "number", "string in string", "long"}
+    assert {s for s, _, _ in got} == {"good", "blank user", "parts", "null message", "number", "string in string", "long", "nulls"}
     assert c.validated_turns(c.replay(spark, f"{tmp_path}/t", ev.limit(0))).count() == 0
