@@ -41,6 +41,14 @@ def test_held_out_labels(spark):
     assert len(hits) > 60 and np.mean(np.array(hits) == 0) >= 0.9 and max(hits) <= 1
 
 
+def test_fit_takes_a_bounded_sample(spark):
+    text = "The cat sat on the mat and it was a fat cat that we like. " * 5
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("plan").alias("kind"))
+    labels = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(2).alias("reading_level"), F.lit("a").alias("rater"))
+    assert len(r.labelled(docs, labels, 100)) in range(60, 101) and len(r.labelled(docs, labels, 5000)) == 500
+    assert r.labelled(docs, labels, 100) == r.labelled(docs.repartition(3), labels.repartition(5), 100)
+
+
 def test_edge_cases(spark):
     text = "The cat sat on the mat and it was a fat cat that we like. " * 5
     rows = [(1, text, "plan", "de"), (1, text, "plan", "de"), (2, None, "plan", "en"), (3, "", "chat", "en"), (4, text, "log", "en"), (5, text, None, "en"), (6, text[:200], "chat", "en"), (7, text + "x" * 200000, "chat", None), (None, text, "chat", "en")]
