@@ -8,19 +8,10 @@ from pyspark.sql import functions as F
 from opstrata.functions import scoring
 from opstrata.operators import code as C
 from opstrata.operators import metrics as M
+from opstrata.plans.registry import registry
 from opstrata.sources.tables import table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,13 +28,13 @@ _PATHS = """p as (select distinct json_extract_string(f, '$.path') as path from
 
 
 @query(f"""select doc_id, case when content = '' then 0 when regexp_matches(content, '[\\r\\n]$') then len(l) - 1 else len(l) end as loc, len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[^\\s#]'))) as code_loc
- from (select *, string_split_regex(content, '\\r\\n|\\n|\\r') as l from {_SRC})""")
+ from (select *, string_split_regex(content, '\\r\\n|\\n|\\r') as l from {_SRC})""", loc="int", code_loc="int")
 def sf01_line_counts(spark, sf):
     n, code = C.line_counts(F.col("content"))
     return _sources(spark, sf).select("doc_id", n.alias("loc"), code.alias("code_loc"))
 
 
-@query(f"select doc_id, len(regexp_extract_all(content, '[0-9A-Za-z_]+|[^0-9A-Za-z_\\s]')) as tokens from {_SRC}")
+@query(f"select doc_id, len(regexp_extract_all(content, '[0-9A-Za-z_]+|[^0-9A-Za-z_\\s]')) as tokens from {_SRC}", tokens="int")
 def ca02_token_counts(spark, sf):
     return _sources(spark, sf).select("doc_id", C.token_count(F.col("content")).alias("tokens"))
 
@@ -94,13 +85,13 @@ def jn10_documents_naming_files(spark, sf):
     return m.join(_paths(spark, sf), "path").groupBy("path").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-@query("""select doc_id, regexp_extract(text, '^# ([^\\n]*)', 1) as title, len(regexp_extract_all(text, '(?m)^## ')) as n_sections from documents where kind = 'plan' and text is not null""")
+@query("""select doc_id, regexp_extract(text, '^# ([^\\n]*)', 1) as title, len(regexp_extract_all(text, '(?m)^## ')) as n_sections from documents where kind = 'plan' and text is not null""", n_sections="int")
 def src25_sections(spark, sf):
     """SRC-25: title and number of sections of Markdown texts."""
     return table(spark, sf, "documents").filter("kind = 'plan' and text is not null").select("doc_id", F.regexp_extract("text", r"^# ([^\n]*)", 1).alias("title"), F.regexp_count("text", F.lit(r"(?md)^## ")).alias("n_sections"))
 
 
-@query("""select doc_id, left(text, 500) as head, length(text) as n_chars, case when length(text) >= 1000000 then '~' || printf('%.1f', length(text) / 1e6) || 'M' when length(text) >= 1000 then '~' || cast(length(text) // 1000 as varchar) || 'K' else cast(length(text) as varchar) end as size from documents where text is not null""")
+@query("""select doc_id, left(text, 500) as head, length(text) as n_chars, case when length(text) >= 1000000 then '~' || printf('%.1f', length(text) / 1e6) || 'M' when length(text) >= 1000 then '~' || cast(length(text) // 1000 as varchar) || 'K' else cast(length(text) as varchar) end as size from documents where text is not null""", n_chars="int")
 def sf32_bounded_text(spark, sf):
     """SF-20, SF-32: bounded texts and readable sizes."""
     n = F.length("text")

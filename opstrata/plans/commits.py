@@ -8,19 +8,10 @@ from pyspark.sql import functions as F
 from opstrata.functions import scoring
 from opstrata.operators import history as H
 from opstrata.operators.running import previous
+from opstrata.plans.registry import registry
 from opstrata.sources.tables import table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def _commits(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +61,7 @@ _REC = """with recursive o as (select o_custkey as repo, o_orderkey as place, ep
  select repo, row_number() over (partition by repo order by rn) - 1 as position, place from g qualify position < 100"""
 
 
-@query(_REC)
+@query(_REC, position="int")
 def wn13_time_sampling(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("place"), F.col("o_orderdate").alias("time"))
     return H.sampled(orders, "repo", "place", "time")

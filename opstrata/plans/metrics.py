@@ -9,19 +9,10 @@ from pyspark.sql import functions as F
 from opstrata.functions import scoring
 from opstrata.operators import metrics as M
 from opstrata.operators.sessions import latest
+from opstrata.plans.registry import registry
 from opstrata.sources.tables import table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def _snaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +65,7 @@ def agg12_guarded_ratios(spark, sf):
     return m.select("id", zero("m.type_hint_coverage").alias("type_hint_coverage"), zero("m.test_coverage_percent").alias("test_coverage"), zero(F.try_divide("m.total_complexity", "m.total_files_analyzed")).alias("complexity_per_file"))
 
 
-@query(f"with {_S}, {_REG}, {_SM} select id, smell, n, case when json_type(files) = 'ARRAY' then json_array_length(files) else -1 end as n_files from sm")
+@query(f"with {_S}, {_REG}, {_SM} select id, smell, n, case when json_type(files) = 'ARRAY' then json_array_length(files) else -1 end as n_files from sm", n_files="int")
 def sf33_smell_rows(spark, sf):
     return M.smell_rows(_snaps(spark, sf)).select("id", "smell", "n", F.coalesce(F.size("files"), F.lit(-1)).alias("n_files"))
 
@@ -91,7 +82,7 @@ def agg19_smell_offenders(spark, sf):
     return x.groupBy("path").agg(F.count_distinct("smell").alias("n_smells"), F.count_distinct("repository_path").alias("n_repositories")).orderBy(F.desc("n_smells"), F.desc("n_repositories"), "path").limit(10)
 
 
-@query(f"with {_S}, {_F}, {_REG}, {_SM}, {_W}, {_Q} select id, round(mi_normalized, 8) as mi_normalized, round(smell_penalty, 8) as smell_penalty, bonus, round(mi_normalized * (1 - smell_penalty) + bonus, 8) as qpe from q")
+@query(f"with {_S}, {_F}, {_REG}, {_SM}, {_W}, {_Q} select id, round(mi_normalized, 8) as mi_normalized, round(smell_penalty, 8) as smell_penalty, bonus, round(mi_normalized * (1 - smell_penalty) + bonus, 8) as qpe from q", bonus="double")
 def cp11_quality_score(spark, sf):
     r = lambda c: F.round(c, 8).alias(c)
     return M.quality(_snaps(spark, sf), M.registry(spark)).select("id", r("mi_normalized"), r("smell_penalty"), "bonus", r("qpe"))
@@ -111,7 +102,7 @@ def cp07_snapshot_delta(spark, sf):
     return M.delta(M.file_changes(M.file_rows(s), M.pairs(s)))
 
 
-@query(f"with {_S}, {_F}, {_P}, {_C} select id, path, effort_change::double as effort_change, rank from (select *, row_number() over (partition by id order by abs(effort_change) desc, path) as rank from c where what in ('changed', 'same')) where rank <= 3")
+@query(f"with {_S}, {_F}, {_P}, {_C} select id, path, effort_change::double as effort_change, rank from (select *, row_number() over (partition by id order by abs(effort_change) desc, path) as rank from c where what in ('changed', 'same')) where rank <= 3", rank="int")
 def so05_top_effort_changes(spark, sf):
     """JN-02, SO-05: the three files on both sides whose effort changed most."""
     s = _snaps(spark, sf)
@@ -155,7 +146,7 @@ def _latest_scores(spark: SparkSession, sf: str) -> DataFrame:
     return latest(b, ["project_path"], F.desc("id"), F.asc("measured_at"))
 
 
-@query(f"with {_LB} select row_number() over (order by qpe_score desc, project_path) as rank, project_path, project_name, qpe_score, qpe_weight_version is distinct from (select max(qpe_weight_version) from l) as stale from l")
+@query(f"with {_LB} select row_number() over (order by qpe_score desc, project_path) as rank, project_path, project_name, qpe_score, qpe_weight_version is distinct from (select max(qpe_weight_version) from l) as stale from l", rank="int")
 def cp12_leaderboard(spark, sf):
     """CP-12, WN-14: projects ranked by their newest score; stale if by an older weighting. One row per project is ranked, never the history."""
     b = _latest_scores(spark, sf)

@@ -15,20 +15,11 @@ from opstrata.plans import code as code_plans
 from opstrata.plans import commits as commit_plans
 from opstrata.plans import metrics as metric_plans
 from opstrata.plans import transcripts as transcript_plans
+from opstrata.plans.registry import registry
 from opstrata.sources.sinks import pending_migrations
 from opstrata.sources.tables import table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 _READS, _PATHS = transcript_plans._READS, code_plans._PATHS
@@ -43,7 +34,7 @@ def _snaps(spark: SparkSession, sf: str) -> DataFrame:
  x as (select session_id, generate_subscripts(a, 1) - 1 as pos, unnest(a) as v from (select session_id, from_json(json_extract(m, '$.transcript'), '["json"]') as a from s where json_type(m, '$.transcript') = 'ARRAY')),
  l as (select session_id, pos, v, lead(v) over (partition by session_id order by pos) as n from x)
  select session_id, pos, case when p->>'$.auto' = 'true' then 'auto' else 'manual' end as trigger, coalesce(try_cast(n->>'$.tokens.input' as bigint), 0) as pre_tokens from
- (select *, list_filter(from_json(json_extract(v, '$.parts'), '["json"]'), lambda p: p->>'$.type' = 'compaction')[1] as p from l where json_type(v, '$.parts') = 'ARRAY') where p is not null and v->>'$.role' = 'user' and n->>'$.role' = 'assistant' and n->>'$.agent' = 'compaction'""")
+ (select *, list_filter(from_json(json_extract(v, '$.parts'), '["json"]'), lambda p: p->>'$.type' = 'compaction')[1] as p from l where json_type(v, '$.parts') = 'ARRAY') where p is not null and v->>'$.role' = 'user' and n->>'$.role' = 'assistant' and n->>'$.agent' = 'compaction'""", pos="int")
 def jn04_compactions_b(spark, sf):
     """JN-04, CP-04 of dialect B."""
     e = transcript_plans.P._once(table(spark, sf, "hook_events"), "event_type = 'Stop' and source = 'opencode'").filter("metadata is not null")
@@ -76,7 +67,7 @@ def jn15_unread_tests(spark, sf):
 
 
 @query("""with g as (select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem), e as (select distinct o_custkey as session_id, 'o' || o_orderkey as path from orders), r as (select distinct o_custkey as session_id, 'p' || l_partkey as path from orders join lineitem on o_orderkey = l_orderkey where l_returnflag = 'R')
- select e.session_id, e.path, count(g.dst) as imports, count(r.path) as imports_read, count(g.dst) - count(r.path) as n_blind from e left join g on e.path = g.src left join r on r.session_id = e.session_id and r.path = g.dst group by 1, 2""")
+ select e.session_id, e.path, count(g.dst) as imports, count(r.path) as imports_read, count(g.dst) - count(r.path) as n_blind from e left join g on e.path = g.src left join r on r.session_id = e.session_id and r.path = g.dst group by 1, 2""", n_blind="int")
 def cp05_context_coverage(spark, sf):
     """CP-05, JN-08, ST-04; orders stand for edited files, their parts for imports, returned parts for files read."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), "l_returnflag")
@@ -121,7 +112,7 @@ def agg22_objective_totals(spark, sf):
     return table(spark, sf, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", zero("n").alias("n"), zero("total").cast("double").alias("total"), zero("n_high").alias("n_high"))
 
 
-@query("""select project_name, string_agg(kind, ',' order by kind) as kinds, count(*) as n_kinds from (select distinct project_name, kind from documents where kind is not null) group by 1""")
+@query("""select project_name, string_agg(kind, ',' order by kind) as kinds, count(*) as n_kinds from (select distinct project_name, kind from documents where kind is not null) group by 1""", n_kinds="int")
 def agg24_distinct_sets(spark, sf):
     """AGG-24, SO-08: the sorted set of kinds of each project."""
     d = table(spark, sf, "documents").filter("kind is not null").groupBy("project_name").agg(F.array_sort(F.collect_set("kind")).alias("k"))
@@ -136,7 +127,7 @@ def wn17_durations(spark, sf):
     return table(spark, sf, "message_updated").groupBy("session_id").agg(F.date_format(a, "yyyy-MM-dd HH:mm").alias("started"), F.when(F.count(F.lit(1)) > 1, (us(b) - us(a)) / 1_000_000).alias("seconds"))
 
 
-@query("""select project_path, id, qpe_score, row_number() over (partition by project_path order by id desc) as position from (select distinct id, project_path, qpe_score from qpe_leaderboard)""")
+@query("""select project_path, id, qpe_score, row_number() over (partition by project_path order by id desc) as position from (select distinct id, project_path, qpe_score from qpe_leaderboard)""", position="int")
 def so02_project_history(spark, sf):
     b = table(spark, sf, "qpe_leaderboard").select("id", "project_path", "qpe_score").distinct()
     return b.withColumn("position", F.row_number().over(W.partitionBy("project_path").orderBy(F.desc("id"))))
@@ -147,14 +138,14 @@ def so03_multi_key_sort(spark, sf):
     return table(spark, sf, "qpe_leaderboard").select("id", "project_path", "smell_penalty").distinct().orderBy(F.desc(F.abs(F.col("smell_penalty") - 0.2)), "project_path", "id").limit(25)
 
 
-@query("""select session_id, array_to_string(t[1:3], ',') as first_tools, greatest(len(t) - 3, 0) as more from (select session_id, list_sort(list(distinct tool_type)) as t from hook_events where tool_type is not null group by 1)""")
+@query("""select session_id, array_to_string(t[1:3], ',') as first_tools, greatest(len(t) - 3, 0) as more from (select session_id, list_sort(list(distinct tool_type)) as t from hook_events where tool_type is not null group by 1)""", more="int")
 def so06_first_tools(spark, sf):
     """SO-06/08: the first three of each session's sorted tools and how many more there are."""
     t = table(spark, sf, "hook_events").filter("tool_type is not null and session_id is not null").groupBy("session_id").agg(F.array_sort(F.collect_set("tool_type")).alias("t"))
     return t.select("session_id", F.array_join(F.slice("t", 1, 3), ",").alias("first_tools"), F.greatest(F.size("t") - 3, F.lit(0)).alias("more"))
 
 
-@query(f"with {metric_plans._REG} select smell, category, weight::double as weight, row_number() over (partition by category order by weight desc, smell) as rank from reg")
+@query(f"with {metric_plans._REG} select smell, category, weight::double as weight, row_number() over (partition by category order by weight desc, smell) as rank from reg", rank="int")
 def so09_registry(spark, sf):
     return M.registry(spark).withColumn("rank", F.row_number().over(W.partitionBy("category").orderBy(F.desc("weight"), "smell")))
 
@@ -200,7 +191,7 @@ def src24_plan_names(spark, sf):
     return table(spark, sf, "transcript").filter(F.col("message").contains("plans/")).select("line_id", F.explode(F.regexp_extract_all("message", F.lit(r"plans/([a-z0-9-]+\.md)"), F.lit(1))).alias("plan")).distinct()
 
 
-@query("""select distinct id, left(json_extract_string(m, '$.output'), 500) as output, length(json_extract_string(m, '$.output')) as n from (select id, case when json_valid(metadata) then metadata end as m from hook_events where event_type = 'PostToolUse') where json_extract_string(m, '$.output') is not null""")
+@query("""select distinct id, left(json_extract_string(m, '$.output'), 500) as output, length(json_extract_string(m, '$.output')) as n from (select id, case when json_valid(metadata) then metadata end as m from hook_events where event_type = 'PostToolUse') where json_extract_string(m, '$.output') is not null""", n="int")
 def src27_shaped_output(spark, sf):
     """SRC-27: bounded texts of tool results."""
     o = F.try_variant_get(F.try_parse_json("metadata"), "$.output", "string")

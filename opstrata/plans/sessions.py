@@ -10,19 +10,10 @@ from opstrata.functions import events as E
 from opstrata.functions.timestamps import CANONICAL
 from opstrata.operators import sessions as S
 from opstrata.operators.running import running_sum
+from opstrata.plans.registry import registry
 from opstrata.sources.tables import table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def _events(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -241,7 +232,7 @@ def so01_top_types(spark, sf):
 
 
 @query("""select user_id, max(case when e.gap then 1 else 0 end) as split, count(*) as n, sum(case when e.gap then 1 else 0 end) as n_gaps from
- (select user_id, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 6 hour, false) as gap from events) e group by 1""")
+ (select user_id, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 6 hour, false) as gap from events) e group by 1""", n_gaps="bigint")
 def ss09_session_gaps(spark, sf):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     gap = F.coalesce(F.col("ts") - F.lag("ts").over(w) > F.expr("interval 6 hours"), F.lit(False))

@@ -8,24 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opstrata.operators.sessions import latest
+from opstrata.plans.registry import registry
 from opstrata.sources.tables import shared_dir, stream
 from opstrata.streaming import state as S
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, query = registry()
 #: Event time of the row that ends a replay and so closes every window.
 END = datetime(2262, 1, 1)
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _finish(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     base = shared_dir(spark, purpose)
     S.run_to_end(df, f"{base}/rows", f"{base}/progress")

@@ -8,19 +8,10 @@ from pyspark.sql import functions as F
 from opstrata.functions import events as E
 from opstrata.operators import todo_plans as P
 from opstrata.operators import transcripts as T
+from opstrata.plans.registry import registry
 from opstrata.sources.tables import table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def _lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -108,7 +99,7 @@ def src03_line_scan(spark, sf):
 
 
 @query("""with s as (select session_id, arg_max(m, sequence_number) as m from (select id, session_id, sequence_number, max(case when json_valid(metadata) then metadata end) as m from hook_events where event_type = 'Stop' and source = 'opencode' group by 1, 2, 3) where m is not null group by 1)
- select session_id, generate_subscripts(x, 1) - 1 as pos, json_extract_string(unnest(x), '$.role') as role from (select session_id, from_json(json_extract(m, '$.transcript'), '["json"]') as x from s where json_type(m, '$.transcript') = 'ARRAY')""")
+ select session_id, generate_subscripts(x, 1) - 1 as pos, json_extract_string(unnest(x), '$.role') as role from (select session_id, from_json(json_extract(m, '$.transcript'), '["json"]') as x from s where json_type(m, '$.transcript') = 'ARRAY')""", pos="int")
 def src05_embedded_transcripts(spark, sf):
     """SRC-05: the transcript inside the last readable stop event of a session, a row per message."""
     e = P._once(table(spark, sf, "hook_events"), "event_type = 'Stop' and source = 'opencode'").filter("metadata is not null")
@@ -157,13 +148,13 @@ _TOOLS = f""", x as (select id, session_id, sequence_number as seq, tool_name, m
  z as (select session_id, step, count(*) as events, count(*) filter (where category = 'search') as search, count(*) filter (where category = 'implementation') as implementation from y where step is not null group by 1, 2)"""
 
 
-@query(f"{_SNAPS} select * from c")
+@query(f"{_SNAPS} select * from c", step="int", n_todos="int", n_added="int", n_removed="int", n_changed="int", n_completed="int")
 def wn06_todo_differences(spark, sf):
     d = P.differences(P.snapshots(table(spark, sf, "hook_events")))
     return d.select("session_id", "step", "seq", F.size("todos").alias("n_todos"), *[F.size(c).alias(f"n_{c}") for c in ("added", "removed", "changed", "completed")])
 
 
-@query(f"{_SNAPS}{_TOOLS} select s.session_id, s.step, coalesce(events, 0) as events, coalesce(search, 0) as search, coalesce(implementation, 0) as implementation from s left join z using (session_id, step)")
+@query(f"{_SNAPS}{_TOOLS} select s.session_id, s.step, coalesce(events, 0) as events, coalesce(search, 0) as search, coalesce(implementation, 0) as implementation from s left join z using (session_id, step)", step="int")
 def wn07_plan_islands(spark, sf):
     return P.steps(table(spark, sf, "hook_events")).select("session_id", "step", "events", "search", "implementation")
 
