@@ -75,3 +75,26 @@ def test_edge_cases(spark, tmp_path, monkeypatch, segment):
     assert got == want
     assert {s for s, _, _ in got} == {"good", "blank user", "parts", "null message", "number", "string in string", "long", "nulls"}
     assert c.validated_turns(c.replay(spark, f"{tmp_path}/t", ev.limit(0))).count() == 0
+
+
+def test_late_lines_wait_in_state(spark, tmp_path):
+    """Over several micro-batches a segment stays open for late lines until the watermark passes its newest one, then leaves in order; others stay."""
+    import datetime
+
+    from opstrata.streaming.state import run_to_end
+
+    at = lambda m: datetime.datetime(2025, 1, 1, 0, 0) + datetime.timedelta(minutes=m)
+    schema = "session_id string, segment long, seq long, line_in_event int, line_id long, uuid string, parent_uuid string, role byte, readable boolean, event_time timestamp"
+    row = lambda s, q, u, m: (s, 0, q, 0, q, u, None, 1, True, at(m))
+    batches = [[row("a", 2, "u2", 10), row("a", 3, "u3", 20)], [row("a", 1, "u1", 0), row("b", 1, "v1", 50)], [row("a", 4, "u2", 21), row("c", 1, "w1", 300)], [row("b", 2, "late", 1)], [row("d", 1, "x1", 1000)]]
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
+    run_to_end(c.ordered_lines(stream, "1 hour", buckets=2), f"{tmp_path}/out", f"{tmp_path}/cp")
+    rows = spark.read.schema(c.ORDERED).parquet(f"{tmp_path}/out").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.session_id, []).append((r.seq, r.uuid))
+    assert got["a"] == [(1, "u1"), (2, "u2"), (3, "u3")]  # the late line is in its place, the uuid that recurs isn't there again
+    # a line far behind the watermark may still come in while its segment is open; closed; not yet closed
+    assert got["b"][0] == (1, "v1") and got["c"] == [(1, "w1")] and "d" not in got
