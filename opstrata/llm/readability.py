@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,16 +51,23 @@ def syllables(word: str) -> int:
 
 
 class _Words(dict):
-    """Syllables and letters of words, and of which languages they are function words; worked out once a worker, forgotten when too many."""
+    """The row of each word in ``table``: syllables, letters, and of which languages it is a function word. Worked out once a worker, forgotten when too many."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
-            self.clear()
-        v = self[word] = (syllables(word), sum(c.isalpha() for c in word), *(int(word in f) for f in _LANGUAGES.values()))
-        return v
+    def __init__(self) -> None:
+        super().__init__()
+        self.table = np.zeros((1024, 2 + len(_LANGUAGES)), np.int64)
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[k] = (syllables(word), sum(c.isalpha() for c in word), *(word in f for f in _LANGUAGES.values()))
+        return k
 
 
 _KNOWN = _Words()
+#: Words that a worker remembers at most.
+MOST_WORDS = 500_000
 
 
 def clean(text: str) -> str:
@@ -70,15 +78,20 @@ def clean(text: str) -> str:
     return text
 
 
-def facts(words: list[str]) -> np.ndarray:
-    """A row per lower-case word: syllables, letters, function word of each language (English first)."""
-    return np.array([_KNOWN[w] for w in words], np.int32).reshape(len(words), 2 + len(_LANGUAGES))
+def facts(words: Counter) -> tuple[int, int, np.ndarray]:
+    """(words, words of three syllables or more, sums over words of the columns of ``_Words.table``) of counted lower-case words."""
+    if len(_KNOWN) > MOST_WORDS:
+        _KNOWN.clear()
+    at = np.fromiter(map(_KNOWN.__getitem__, words), np.int64, len(words))
+    times = np.fromiter(words.values(), np.int64, len(words))
+    rows = _KNOWN.table[at]
+    return int(times.sum()), int(times[rows[:, 0] >= 3].sum()), times @ rows
 
 
-def is_english(counts: np.ndarray) -> bool:
-    """Whether words, as rows of ``facts``, are English: enough function words of it, and more than of any other language."""
-    ours, *others = counts[:, 2:].sum(axis=0)
-    return len(counts) > 0 and ours >= ENGLISH_SHARE * len(counts) and all(o < ours for o in others)
+def is_english(n: int, sums: np.ndarray) -> bool:
+    """Whether n words with these sums are English: enough function words of it, and more than of any other language."""
+    ours, *others = sums[2:]
+    return n > 0 and ours >= ENGLISH_SHARE * n and all(o < ours for o in others)
 
 
 def grade(text: str | None) -> float | None:
@@ -86,12 +99,11 @@ def grade(text: str | None) -> float | None:
     if not text:
         return None
     text = clean(text)
-    counts = facts(_WORD.findall(text.lower()))
-    if not is_english(counts):
+    n, hard, sums = facts(Counter(_WORD.findall(text.lower())))
+    if not is_english(n, sums):
         return None
-    n = len(counts)
     s = max(1, sum(1 for x in _SENTENCE.split(text) if _WORD.search(x)))
-    per_sentence, per_word, letters, hard = n / s, counts[:, 0].sum() / n, counts[:, 1].sum() / n, int((counts[:, 0] >= 3).sum())
+    per_sentence, per_word, letters = n / s, sums[0] / n, sums[1] / n
     # The published formulas of Flesch-Kincaid, SMOG, Gunning fog, the automated index and Coleman-Liau.
     grades = (
         0.39 * per_sentence + 11.8 * per_word - 15.59, 1.043 * (hard * 30 / s) ** 0.5 + 3.1291, 0.4 * (per_sentence + 100 * hard / n),
