@@ -24,12 +24,12 @@ def deltas(commits: DataFrame, repo: str = "repo", place: str = "place", metrics
 
 
 def summary(d: DataFrame, repo: str, value: str, place: str = "n") -> DataFrame:
-    """AGG-13/14: mean, sample deviation (0 for one), median, extremes, count and slope over ``place`` (0 without spread), rounded to 6 places."""
-    r = lambda c: F.round(c, 6) + 0.0  # no negative zero
+    """AGG-13/14: mean, sample deviation (0 for one), median, extremes, count and slope over ``place`` (0 without spread); deviation and slope are rounded to 9 places."""
+    r = lambda c: F.round(c, 9) + 0.0  # no negative zero
     x = F.col(value).cast("double")
     slope = F.when(F.count(value) < 2, 0.0).otherwise(F.coalesce(F.regr_slope(x, F.col(place).cast("double")), F.lit(0.0)))
     return d.groupBy(repo).agg(
-        r(F.avg(x)).alias("mean"), r(F.coalesce(F.stddev_samp(x), F.lit(0.0))).alias("sd"), r(F.median(x)).alias("median"), F.min(x).alias("least"), F.max(x).alias("most"), F.count(value).alias("n"), r(slope).alias("trend")
+        (F.avg(x) + 0.0).alias("mean"), r(F.coalesce(F.stddev_samp(x), F.lit(0.0))).alias("sd"), F.median(x).alias("median"), F.min(x).alias("least"), F.max(x).alias("most"), F.count(value).alias("n"), r(slope).alias("trend")
     )
 
 

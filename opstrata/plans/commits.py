@@ -25,7 +25,7 @@ def _commits(spark: SparkSession, sf: str) -> DataFrame:
 _C = """c as (select o_custkey as repo, o_orderkey as place, o_orderdate as time, complexity, effort, mi from orders join (select l_orderkey, sum(cast(l_quantity as bigint))::bigint as complexity, sum(cast(l_extendedprice as decimal(18,2))) as effort,
  sum(cast(round(l_discount * 100) as bigint))::bigint as mi from lineitem group by 1) on o_orderkey = l_orderkey)"""
 _D = """d as (select * from (select repo, place, lag(place) over w as base, complexity - lag(complexity) over w as complexity_delta, effort - lag(effort) over w as effort_delta, mi - lag(mi) over w as mi_delta from c window w as (partition by repo order by place)) where base is not null)"""
-_STATS = "select repo, round(avg(x), 6) + 0.0 as mean, round(coalesce(stddev_samp(x), 0), 6) as sd, round(median(x), 6) as median, min(x) as least, max(x) as most, count(x) as n, round(case when count(x) < 2 then 0 else coalesce(regr_slope(x, n), 0) end, 6) + 0.0 as trend"
+_STATS = "select repo, avg(x) + 0.0 as mean, round(coalesce(stddev_samp(x), 0), 9) as sd, median(x) as median, min(x) as least, max(x) as most, count(x) as n, round(case when count(x) < 2 then 0 else coalesce(regr_slope(x, n), 0) end, 9) + 0.0 as trend"
 
 
 @query(f"with {_C}, {_D} select repo, place, base, complexity_delta, effort_delta::double as effort_delta, mi_delta from d")
@@ -82,11 +82,11 @@ def so10_every_kth(spark, sf):
     return d.filter((F.col("total") - F.col("n")) % F.greatest(F.floor(F.col("total") / 10), F.lit(1)) == 0).select("repo", "place")
 
 
-@query(f"""with {_C}, g as (select repo, sum(mi)::bigint as tokens, epoch_us(max(time)) - epoch_us(min(time)) as us from c group by 1) select repo, tokens, round(case when us > 0 then abs(tokens) / (us / 86400000000) / (1000000 / 30) else 0 end, 10) as rate from g""")
+@query(f"""with {_C}, g as (select repo, sum(mi)::bigint as tokens, epoch_us(max(time)) - epoch_us(min(time)) as us from c group by 1) select repo, tokens, case when us > 0 then abs(tokens) / (us / 86400000000) / (1000000 / 30) else 0 end as rate from g""")
 def sf18_galen_rate(spark, sf):
     us = F.unix_micros(F.max("time").cast("timestamp")) - F.unix_micros(F.min("time").cast("timestamp"))
     g = _commits(spark, sf).groupBy("repo").agg(F.sum("mi").alias("tokens"), us.alias("us"))
-    return g.select("repo", "tokens", F.round(scoring.galen_rate(F.col("tokens"), F.col("us") / 86_400_000_000), 10).alias("rate"))
+    return g.select("repo", "tokens", scoring.galen_rate(F.col("tokens"), F.col("us") / 86_400_000_000).alias("rate"))
 
 
 @query(f"with {_C}, {_D} select repo, count(*) as n, sum(complexity_delta)::bigint as complexity, sum(effort_delta)::double as effort, sum(mi_delta)::bigint as mi, sum(complexity_delta) / count(*) as complexity_per_commit from d group by 1")

@@ -82,10 +82,10 @@ def agg19_smell_offenders(spark, sf):
     return x.groupBy("path").agg(F.count_distinct("smell").alias("n_smells"), F.count_distinct("repository_path").alias("n_repositories")).orderBy(F.desc("n_smells"), F.desc("n_repositories"), "path").limit(10)
 
 
-@query(f"with {_S}, {_F}, {_REG}, {_SM}, {_W}, {_Q} select id, round(mi_normalized, 8) as mi_normalized, round(smell_penalty, 8) as smell_penalty, bonus, round(mi_normalized * (1 - smell_penalty) + bonus, 8) as qpe from q", bonus="double")
+@query(f"with {_S}, {_F}, {_REG}, {_SM}, {_W}, {_Q} select id, mi_normalized, round(smell_penalty, 10) as smell_penalty, bonus, round(mi_normalized * (1 - smell_penalty) + bonus, 10) as qpe from q", bonus="double")
 def cp11_quality_score(spark, sf):
-    r = lambda c: F.round(c, 8).alias(c)
-    return M.quality(_snaps(spark, sf), M.registry(spark)).select("id", r("mi_normalized"), r("smell_penalty"), "bonus", r("qpe"))
+    r = lambda c: F.round(c, 10).alias(c)
+    return M.quality(_snaps(spark, sf), M.registry(spark)).select("id", "mi_normalized", r("smell_penalty"), "bonus", r("qpe"))
 
 
 @query(f"with {_S}, {_F}, {_P}, {_C} select id, path, what, complexity_change, effort_change::double as effort_change, mi_change::double as mi_change, volume_change::double as volume_change, tokens_change from c")

@@ -219,12 +219,12 @@ def cp10_current_impact(spark, sf):
 
 
 @query(f"""with {_SNAP}, t as (select id, avg(mi::double) filter (where starts_with(path, 'src/')) / 100 as a, avg(mi::double) filter (where starts_with(path, 'lib/')) / 100 as b from f group by 1)
- select id, round(a, 8) as a, round(b, 8) as b, case when abs(b - a) < 0.01 then 'tie' when b > a then 'B' else 'A' end as winner from t where a is not null and b is not null""")
+ select id, round(a, 10) as a, round(b, 10) as b, case when abs(b - a) < 0.01 then 'tie' when b > a then 'B' else 'A' end as winner from t where a is not null and b is not null""")
 def cp13_subtree_comparison(spark, sf):
     """CP-13: two sub-trees of a snapshot by their maintainability, with a dead band."""
     mean = lambda p: F.avg(F.when(F.col("path").startswith(p), F.col("mi").cast("double"))) / 100
     t = M.file_rows(_snaps(spark, sf)).groupBy("id").agg(mean("src/").alias("a"), mean("lib/").alias("b")).filter("a is not null and b is not null")
-    return t.select("id", F.round("a", 8).alias("a"), F.round("b", 8).alias("b"), scoring.winner(F.col("a"), F.col("b")).alias("winner"))
+    return t.select("id", F.round("a", 10).alias("a"), F.round("b", 10).alias("b"), scoring.winner(F.col("a"), F.col("b")).alias("winner"))
 
 
 @query("""select distinct id, round(case when r <= 1 then r else 1 - 2 * (r - 1) end, 8) as score from (select id, total_effort / greatest(100000, 1.0) as r from qpe_leaderboard)""")
