@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from opstrata.functions.events import DEFAULT_SOURCE
 from opstrata.functions.timestamps import CANONICAL
+from opstrata.operators.instants import normalise
 
-HEADER = ["session_id", "sequence_number", "event_type", "tool_type", "duration_ms", "error_message", "timestamp", "source"]
+HEADER = ["session_id", "sequence_number", "event_type", "tool_type", "duration_ms", "error_message", "source"]
 
 
 def distinct_events(hook_events: DataFrame, *columns: str) -> DataFrame:
@@ -22,19 +23,36 @@ def canonical_time(text: Column) -> Column:
     return F.when(text.rlike(CANONICAL), F.try_to_timestamp(F.rtrim(text, F.lit("Z"))).cast("timestamp_ntz"))
 
 
+def session_times(hook_events: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(session_id, first_time, last_time) over the instants of a session's events, of whatever form their timestamps are; a session without any has no row.
+
+    A repeated event counts once, by ``normalise``; what meets other figures is one row per session.
+    """
+    t = normalise(hook_events.filter("session_id is not null"), hosts, "id", "timestamp", keep="session_id")
+    time = lambda c: F.timestamp_add("MICROSECOND", c, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return t.groupBy("session_id").agg(F.min("utc_micros").alias("a"), F.max("utc_micros").alias("b")).select("session_id", time(F.col("a")).alias("first_time"), time(F.col("b")).alias("last_time"))
+
+
 def header_aggregates() -> list[Column]:
-    """AGG-01. An error is a message that is neither null nor empty; the average over all events counts events without duration too, as the usual one doesn't."""
+    """AGG-01 without times. An error is a message that is neither null nor empty; the average over all events counts events without duration too, as the usual one doesn't."""
     total = F.coalesce(F.sum("duration_ms"), F.lit(0))
     return [
         F.count(F.lit(1)).alias("n_events"), F.min("sequence_number").alias("first_sequence"), F.max("sequence_number").alias("last_sequence"),
-        F.min(canonical_time(F.col("timestamp"))).alias("first_time"), F.max(canonical_time(F.col("timestamp"))).alias("last_time"),
         F.count_if(F.col("error_message").isNotNull() & (F.col("error_message") != "")).alias("n_errors"), total.alias("total_duration_ms"),
         (total / F.count(F.lit(1))).alias("avg_duration_all_events"), F.coalesce(F.avg("duration_ms"), F.lit(0.0)).alias("avg_duration_ms"),
     ]
 
 
-def headers(events: DataFrame) -> DataFrame:
-    return events.groupBy("session_id").agg(*header_aggregates())
+def canonical_times() -> list[Column]:
+    """First and last time where all timestamps are known to be canonical; ``session_times`` reads all forms."""
+    return [F.min(canonical_time(F.col("timestamp"))).alias("first_time"), F.max(canonical_time(F.col("timestamp"))).alias("last_time")]
+
+
+def headers(events: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """AGG-01. ``times`` are those of ``session_times``; without them all timestamps must be canonical."""
+    if times is None:
+        return events.groupBy("session_id").agg(*header_aggregates(), *canonical_times())
+    return events.groupBy("session_id").agg(*header_aggregates()).join(times, "session_id", "left")
 
 
 def counts_by(events: DataFrame, *keys: str) -> DataFrame:
@@ -49,11 +67,15 @@ def summaries(events: DataFrame) -> DataFrame:
     )
 
 
-def recent(events: DataFrame, limit: int, directory: str | None = None) -> DataFrame:
-    """AGG-05, PF-06: the sessions whose first event is newest; with a directory those with any event in it."""
+def recent(events: DataFrame, limit: int, directory: str | None = None, hosts: DataFrame | None = None) -> DataFrame:
+    """AGG-05, PF-06: the sessions whose first event is newest; with a directory those with any event in it. Without ``hosts`` (the zones of local times) all timestamps must be canonical."""
     if directory is not None:
         events = events.filter(F.col("working_directory") == directory)
-    return events.groupBy("session_id").agg(F.min(canonical_time(F.col("timestamp"))).alias("first_time")).orderBy(F.desc_nulls_last("first_time"), "session_id").limit(limit)
+    if hosts is None:
+        d = events.groupBy("session_id").agg(*canonical_times())
+    else:
+        d = events.select("session_id").distinct().join(session_times(events, hosts), "session_id", "left")
+    return d.select("session_id", "first_time").orderBy(F.desc_nulls_last("first_time"), "session_id").limit(limit)
 
 
 def git_states() -> list[Column]:
@@ -73,12 +95,13 @@ def first_attributes() -> list[Column]:
     ]
 
 
-def statistics(events: DataFrame) -> DataFrame:
-    """CP-01: all of a session's figures in one aggregation, for all sessions at once."""
-    return events.groupBy("session_id").agg(
+def statistics(events: DataFrame, times: DataFrame) -> DataFrame:
+    """CP-01: all of a session's figures in one aggregation, for all sessions at once; ``times`` (``session_times``) are joined as one row per session."""
+    d = events.groupBy("session_id").agg(
         *header_aggregates(), *git_states(), *first_attributes(), F.count_distinct("tool_type").alias("n_tools"),
         F.count_if(F.col("event_type") == "PreToolUse").alias("n_pre"), F.count_if(F.col("event_type") == "PostToolUse").alias("n_post"), F.count_if(F.col("event_type") == "Stop").alias("n_stop"),
     )
+    return d.join(times, "session_id", "left")
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

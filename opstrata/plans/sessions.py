@@ -20,6 +20,10 @@ def _events(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return S.distinct_events(table(spark, sf, "hook_events"), "session_id", *columns)
 
 
+def _times(spark: SparkSession, sf: str) -> DataFrame:
+    return S.session_times(table(spark, sf, "hook_events"), table(spark, sf, "agent_hosts"))
+
+
 _E = "(select distinct {} from hook_events where session_id is not null)"
 _TIME = f"case when regexp_matches(\"timestamp\", '{CANONICAL}') then cast(rtrim(\"timestamp\", 'Z') as timestamp) end"
 _HEADER = f"""count(*) as n_events, min(sequence_number) as first_sequence, max(sequence_number) as last_sequence, min({_TIME}) as first_time, max({_TIME}) as last_time,
@@ -39,7 +43,8 @@ def src01_session_events(spark, sf):
 
 @query(f"select session_id, {_HEADER} from {_E.format(_ALL)} group by session_id")
 def agg01_session_header(spark, sf):
-    return S.headers(_events(spark, sf, *S.HEADER))
+    """AGG-01; times from timestamps of any form, which the SQL can't read: it takes canonical ones only."""
+    return S.headers(_events(spark, sf, *S.HEADER), _times(spark, sf))
 
 
 @query("select session_id, event_type, count(distinct id) as n_events from hook_events where event_type is not null group by 1, 2")
@@ -60,13 +65,15 @@ def agg04_session_summary(spark, sf):
 
 @query(f"select session_id, min({_TIME}) as first_time from hook_events group by 1 order by first_time desc nulls last, session_id limit 20")
 def agg05_recent_sessions(spark, sf):
-    return S.recent(table(spark, sf, "hook_events").filter("session_id is not null").select("session_id", "timestamp"), 20)
+    """AGG-05 by timestamps of any form; the SQL takes canonical ones only."""
+    return S.recent(table(spark, sf, "hook_events").filter("session_id is not null"), 20, hosts=table(spark, sf, "agent_hosts"))
 
 
 @query(f"""select session_id, min({_TIME}) as first_time from hook_events where working_directory = (select min(working_directory) from hook_events) group by 1 order by first_time desc nulls last, session_id limit 20""")
 def agg05_recent_in_directory(spark, sf):
+    """AGG-05 by timestamps of any form; the SQL takes canonical ones only."""
     e = table(spark, sf, "hook_events").filter("session_id is not null")
-    return S.recent(e, 20, e.agg(F.min("working_directory")).first()[0])
+    return S.recent(e, 20, e.agg(F.min("working_directory")).first()[0], table(spark, sf, "agent_hosts"))
 
 
 @query("select session_id, min(sequence_number) as first_sequence, count(distinct id) as n_events from hook_events group by 1 having count(*) > 0")
@@ -106,7 +113,8 @@ def wn05_first_attributes(spark, sf):
  select a.* exclude (gf, gl), gf.commit_count as first_commit_count, gl.commit_count as last_commit_count, gl.current_branch as last_branch, coalesce({_GIT}, 0) as commits_made, f.* exclude (session_id)
  from a join ({_FIRST}) f using (session_id)""")
 def cp01_session_statistics(spark, sf):
-    return S.statistics(_events(spark, sf, "sequence_number", "event_type", "tool_type", "duration_ms", "error_message", "timestamp", "git_state", "working_directory", "project_name", "project_source", "transcript_path"))
+    """CP-01; times as in ``agg01_session_header``."""
+    return S.statistics(_events(spark, sf, "sequence_number", "event_type", "tool_type", "duration_ms", "error_message", "git_state", "working_directory", "project_name", "project_source", "transcript_path"), _times(spark, sf))
 
 
 @query("""select session_id, arg_max(id, sequence_number) as event_id, max(sequence_number) as sequence_number from hook_events where event_type = 'Stop' group by 1""")
