@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from opstrata.functions.events import DEFAULT_SOURCE
 from opstrata.functions.timestamps import CANONICAL
 from opstrata.operators.instants import normalise
+from opstrata.operators.runs import letters_and_digits
 
 HEADER = ["session_id", "sequence_number", "event_type", "tool_type", "duration_ms", "error_message", "source"]
 
@@ -104,6 +105,25 @@ def statistics(events: DataFrame, times: DataFrame) -> DataFrame:
     return d.join(times, "session_id", "left")
 
 
+def pre_post_pairs(events: DataFrame) -> DataFrame:
+    """JN-21: calls with their results: (pre_id, post_id, duration_ms).
+
+    A result belongs to the call before it with the same session and call_id. Where no call_id is shared, a call and a result are paired if they are neighbours
+    in their session and their tool names agree by letters and digits; where a name is missing, if their tool types agree. An equi-join on the place.
+    """
+    e = events.groupBy("id", "session_id", "sequence_number", "event_type", "tool_name", "tool_type", "duration_ms").agg(F.max("call_id").alias("call_id"))
+    w = W.partitionBy("session_id", F.coalesce(F.concat(F.lit("c"), "call_id"), F.concat(F.lit("i"), F.col("id").cast("string")))).orderBy("sequence_number", "id")
+    is_pre = F.col("event_type") == "PreToolUse"
+    answered = is_pre & (F.lead("event_type").over(w) == "PostToolUse")
+    caller = F.when(~is_pre & (F.lag("event_type").over(w) == "PreToolUse"), F.lag("id").over(w))
+    e = e.select("*", letters_and_digits(F.col("tool_name")).alias("name"), F.coalesce(answered, F.lit(False)).alias("answered"), caller.alias("caller"))
+    by_id = e.filter("caller is not null").select(F.col("caller").alias("pre_id"), F.col("id").alias("post_id"), "duration_ms")
+    pre = e.filter(is_pre & ~F.col("answered")).select("session_id", (F.col("sequence_number") + 1).alias("sequence_number"), F.col("id").alias("pre_id"), F.col("name").alias("_name"), F.col("tool_type").alias("_type"))
+    post = e.filter(~is_pre & F.col("caller").isNull()).select("session_id", "sequence_number", F.col("id").alias("post_id"), "duration_ms", "name", "tool_type")
+    same = F.coalesce(F.col("name") == F.col("_name"), F.col("tool_type") == F.col("_type"))
+    return by_id.unionByName(pre.join(post, ["session_id", "sequence_number"]).filter(same).select("pre_id", "post_id", "duration_ms"))
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """SNK-04/05, WN-15/16: the newest row of each key, null keys being equal to each other. ``order`` is newest first and decides ties."""
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")

@@ -205,11 +205,10 @@ _BEFORE_POST = """select a.id as pre_id, b.id as post_id, b.duration_ms from {e}
 
 @query(_BEFORE_POST.format(e=_E.format("id, session_id, sequence_number, event_type, tool_type, duration_ms")))
 def jn21_pre_post_pairs(spark, sf):
-    """JN-21 in batch: a call and its result are neighbours in their session; an equi-join on the place, without a window over the session."""
-    e = _events(spark, sf, "sequence_number", "event_type", "tool_type", "duration_ms")
-    pre = e.filter("event_type = 'PreToolUse'").select("session_id", (F.col("sequence_number") + 1).alias("sequence_number"), "tool_type", F.col("id").alias("pre_id"))
-    post = e.filter("event_type = 'PostToolUse'").select("session_id", "sequence_number", "tool_type", F.col("id").alias("post_id"), "duration_ms")
-    return pre.join(post, ["session_id", "sequence_number", "tool_type"]).select("pre_id", "post_id", "duration_ms")
+    """JN-21 in batch, see ``sessions.pre_post_pairs``. The SQL joins neighbours by tool type only, which leaves out those whose type is dirty on one side."""
+    e = table(spark, sf, "hook_events").filter("session_id is not null and event_type in ('PreToolUse', 'PostToolUse')")
+    call = E.at(E.readable(F.col("metadata")), "$.call_id")
+    return S.pre_post_pairs(e.select("id", "session_id", "sequence_number", "event_type", "tool_name", "tool_type", "duration_ms", call.alias("call_id"))).select("pre_id", "post_id", "duration_ms")
 
 
 @query("""select session_id, sum(tokens.input)::bigint as input, sum(tokens.output)::bigint as output, sum(tokens.reasoning)::bigint as reasoning, sum(tokens.cache_read)::bigint as cache_read,

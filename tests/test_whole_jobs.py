@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from compare import duck
 from test_problems import by_hand
 
+from opstrata.operators import sessions
 from opstrata.plans import catalogue
 
 QUERIES = catalogue.queries()
@@ -32,3 +33,28 @@ def test_recent_sessions_of_any_form(spark, sf):
         first = {s: a for s, (a, _) in times(sf, where).items()}
         want = sorted(first.items(), key=lambda x: (x[1] is None, (datetime(2100, 1, 1) - x[1]) if x[1] else timedelta(0), x[0]))[:20]
         assert [(r.session_id, r.first_time) for r in QUERIES[name](spark, sf).collect()] == want
+
+
+def test_calls_meet_their_results_by_id_or_name(spark):
+    rows = [
+        (1, "s", 1, "PreToolUse", "Read", "Read", None, None), (2, "s", 2, "PostToolUse", " read", None, 5, None), (3, "s", 3, "PreToolUse", "mcp__a__run", "mcp__other", None, None),
+        (4, "s", 4, "PostToolUse", "mcp__a__run", "mcp__a__run", 6, None), (5, "s", 5, "PreToolUse", "mcp__a__run", "mcp__other", None, None), (6, "s", 6, "PostToolUse", "mcp__b__run", "mcp__other", 7, None),
+        (7, "s", 7, "PreToolUse", None, "Edit", None, None), (8, "s", 8, "PostToolUse", "Edit", "Edit", 8, None), (9, "t", 1, "PreToolUse", "Bash", "Bash", None, "x"), (10, "t", 2, "PreToolUse", "Bash", "Bash", None, "y"),
+        (11, "t", 3, "PostToolUse", "Bash", "Bash", 9, "x"), (12, "t", 4, "PostToolUse", "Bash", "Bash", 10, "y"), (2, "s", 2, "PostToolUse", " read", None, 5, None), (13, "t", 5, "PreToolUse", "Grep", "Grep", None, "z"),
+        (14, "t", 6, "PostToolUse", "Grep", "Grep", 11, "q"), (15, "u", 7, "PostToolUse", "Bash", "Bash", 1, "x"), (9, "t", 1, "PreToolUse", "Bash", "Bash", None, None),
+    ]
+    e = spark.createDataFrame(rows, "id long, session_id string, sequence_number int, event_type string, tool_name string, tool_type string, duration_ms int, call_id string")
+    assert sorted(tuple(r) for r in sessions.pre_post_pairs(e).collect()) == [(1, 2, 5), (3, 4, 6), (7, 8, 8), (9, 11, 9), (10, 12, 10), (13, 14, 11)]
+
+
+def test_pre_post_pairs_against_brute_force(spark, sf):
+    plain = lambda t: t and "".join(c for c in t if c.isalnum()).lower()
+    rows = duck(sf).execute("select distinct id, session_id, sequence_number, event_type, tool_name, tool_type from hook_events where session_id is not null and event_type in ('PreToolUse', 'PostToolUse')").fetchall()
+    post = {(r[1], r[2]): r for r in rows if r[3] == "PostToolUse"}
+    want = set()
+    for r in rows:
+        if r[3] == "PreToolUse" and (p := post.get((r[1], r[2] + 1))):
+            a, b = (plain(r[4]), plain(p[4])) if r[4] and p[4] else (r[5], p[5])
+            if a is not None and a == b:
+                want.add((r[0], p[0]))
+    assert {(r.pre_id, r.post_id) for r in QUERIES["jn21_pre_post_pairs"](spark, sf).collect()} == want
