@@ -59,6 +59,16 @@ def sampled(commits: DataFrame, repo: str, id: str, time: str, interval_days: in
     return g.select(repo, F.posexplode(F.slice(chosen, 1, most)).alias("position", id))
 
 
+def ancestry(commits: DataFrame, repo: str, place: str) -> DataFrame:
+    """JN-23: (repo, place, root, depth), each commit with its first ancestor and the edges between them, at any number of commits.
+
+    The parent of a commit is the one before it in its repository. Such a chain is linear, so a running count along it is the depth; nothing recurs.
+    """
+    root = commits.groupBy(F.col(repo).alias("_r")).agg(F.min(place).alias("root"))
+    d = numbered(commits, repo, place).join(root, F.col(repo).eqNullSafe(F.col("_r")))
+    return d.select(repo, place, "root", (F.col("n") - 1).cast("int").alias("depth"))
+
+
 def strategy(commits: DataFrame, parents: Column, place: str, sample: int = 200) -> DataFrame:
     """AGG-23: the share of merges among the newest ``sample`` commits, and the strategy that follows (strictly above the ratio: by merges)."""
     newest = commits.select(place, (parents >= 2).cast("int").alias("m")).orderBy(F.desc(place)).limit(sample)

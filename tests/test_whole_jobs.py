@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from compare import duck
 from test_problems import by_hand
 
-from opstrata.operators import sessions
+from opstrata.operators import history, sessions
 from opstrata.plans import catalogue
 
 QUERIES = catalogue.queries()
@@ -58,3 +58,32 @@ def test_pre_post_pairs_against_brute_force(spark, sf):
             if a is not None and a == b:
                 want.add((r[0], p[0]))
     assert {(r.pre_id, r.post_id) for r in QUERIES["jn21_pre_post_pairs"](spark, sf).collect()} == want
+
+
+def followed(rows):
+    """{root: (depth, commits)} by going from child to parent, one edge at a time."""
+    parent, last = {}, {}
+    for repo, k in sorted(rows):
+        parent[k], last[repo] = last.get(repo), k
+    out = defaultdict(list)
+    for k in parent:
+        depth, at = 0, k
+        while parent[at] is not None:
+            depth, at = depth + 1, parent[at]
+        out[at].append(depth)
+    return {k: (max(d), len(d)) for k, d in out.items()}
+
+
+def test_ancestry_of_all_commits(spark, sf, monkeypatch):
+    want = followed(duck(sf).execute("select o_custkey, o_orderkey from orders").fetchall())
+    got = QUERIES["jn23_ancestry"](spark, sf)
+    assert {r.root: (r.depth, r.n) for r in got.collect()} == want and sum(n for _, n in want.values()) == duck(sf).execute("select count(*) from orders").fetchone()[0]
+    monkeypatch.setattr(history, "CHUNK", 7)
+    long = [(repo, k * 3 + repo) for repo in (0, 1, 2) for k in range(40 + repo)]
+    d = history.ancestry(spark.createDataFrame(long, "repo long, k long"), "repo", "k").groupBy("root").agg({"depth": "max", "k": "count"})
+    assert {r[0]: (r["max(depth)"], r["count(k)"]) for r in d.collect()} == followed(long) == {0: (39, 40), 1: (40, 41), 2: (41, 42)}
+
+
+def test_ancestry_deeper_than_recursion_goes(spark):
+    d = history.ancestry(spark.range(12_000).selectExpr("1 as repo", "id as k"), "repo", "k").agg({"depth": "max", "root": "max"}).first()
+    assert (d["max(depth)"], d["max(root)"]) == (11_999, 0)
