@@ -69,10 +69,13 @@ def ancestry(commits: DataFrame, repo: str, place: str) -> DataFrame:
     return d.select(repo, place, "root", (F.col("n") - 1).cast("int").alias("depth"))
 
 
-def strategy(commits: DataFrame, parents: Column, place: str, sample: int = 200) -> DataFrame:
-    """AGG-23: the share of merges among the newest ``sample`` commits, and the strategy that follows (strictly above the ratio: by merges)."""
-    newest = commits.select(place, (parents >= 2).cast("int").alias("m")).orderBy(F.desc(place)).limit(sample)
-    return newest.agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("merges")).withColumn("strategy", F.when(F.col("merges") / F.col("n") > MERGE_RATIO, "merge_anchored").otherwise("time_sampled"))
+def strategy(commits: DataFrame, parents: Column, repo: str, place: str, sample: int = 200) -> DataFrame:
+    """AGG-23 per repository: the share of merges among its newest ``sample`` commits, and the strategy that follows (strictly above the ratio: by merges)."""
+    c = commits.select(F.col(repo).alias("repo"), place, (parents >= 2).cast("int").alias("m"))
+    total = c.groupBy(F.col("repo").alias("_r")).agg(F.count(F.lit(1)).alias("total"))
+    newest = numbered(c, "repo", place).withColumnRenamed("n", "_n").join(total, F.col("repo").eqNullSafe(F.col("_r"))).filter(F.col("total") - F.col("_n") < sample)
+    d = newest.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("merges"))
+    return d.withColumn("strategy", F.when(F.col("merges") / F.col("n") > MERGE_RATIO, "merge_anchored").otherwise("time_sampled"))
 
 
 def impacts(d: DataFrame, repo: str = "repo", place: str = "place") -> DataFrame:

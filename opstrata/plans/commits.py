@@ -69,8 +69,8 @@ def wn13_time_sampling(spark, sf):
 
 @query("""with o as (select * from orders order by o_orderkey desc limit 200) select count(*) as n, count(*) filter (where o_orderstatus = 'F')::bigint as merges, case when count(*) filter (where o_orderstatus = 'F') / count(*) > 0.15 then 'merge_anchored' else 'time_sampled' end as strategy from o""")
 def agg23_strategy(spark, sf):
-    """AGG-23 on the newest 200 commits; a finished order stands for a merge."""
-    return H.strategy(table(spark, sf, "orders"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(1), "o_orderkey")
+    """AGG-23 on the newest 200 commits of each repository; a finished order stands for a merge. The SQL takes the newest 200 over all repositories."""
+    return H.strategy(table(spark, sf, "orders"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(1), "o_custkey", "o_orderkey")
 
 
 @query("""with o as (select o_custkey as repo, o_orderkey as place, row_number() over (partition by o_custkey order by o_orderkey desc) as rn, count(*) over (partition by o_custkey) as n from orders) select repo, place from o where (rn - 1) % greatest(n // 10, 1) = 0""")

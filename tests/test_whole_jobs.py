@@ -4,6 +4,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 from compare import duck
+from pyspark.sql import functions as F
 from test_problems import by_hand
 
 from opstrata.operators import history, sessions
@@ -87,3 +88,20 @@ def test_ancestry_of_all_commits(spark, sf, monkeypatch):
 def test_ancestry_deeper_than_recursion_goes(spark):
     d = history.ancestry(spark.range(12_000).selectExpr("1 as repo", "id as k"), "repo", "k").agg({"depth": "max", "root": "max"}).first()
     assert (d["max(depth)"], d["max(root)"]) == (11_999, 0)
+
+
+def strategies(rows, sample=200):
+    out = defaultdict(list)
+    for repo, _, merge in sorted(rows, reverse=True):
+        if len(out[repo]) < sample:
+            out[repo].append(merge)
+    return {r: (len(m), sum(m), "merge_anchored" if sum(m) / len(m) > 0.15 else "time_sampled") for r, m in out.items()}
+
+
+def test_strategy_of_each_repository(spark, sf, monkeypatch):
+    want = strategies(duck(sf).execute("select o_custkey, o_orderkey, o_orderstatus = 'F' from orders").fetchall())
+    assert {r.repo: (r.n, r.merges, r.strategy) for r in QUERIES["agg23_strategy"](spark, sf).collect()} == want
+    monkeypatch.setattr(history, "CHUNK", 64)
+    rows = [(repo, k, k % 7 == 0 if k >= 50 else repo == 1) for repo in (1, 2) for k in range(250)] + [(3, k, k < 3) for k in range(20)]
+    d = history.strategy(spark.createDataFrame(rows, "r long, k long, m boolean"), F.when(F.col("m"), 2).otherwise(1), "r", "k")
+    assert {r.repo: (r.n, r.merges, r.strategy) for r in d.collect()} == strategies(rows) == {1: (200, 28, "time_sampled"), 2: (200, 28, "time_sampled"), 3: (20, 3, "time_sampled")}
