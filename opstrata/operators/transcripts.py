@@ -91,16 +91,28 @@ def compactions(lines: DataFrame) -> DataFrame:
     )
 
 
-def nearest_before(left: DataFrame, right: DataFrame, entity: str, place: str, within: int) -> DataFrame:
-    """JN-05: ``left`` (entity, place, …) with ``found``: the nearest place of ``right`` at most ``within`` before it, null if none.
+def nearest_before(left: DataFrame, right: DataFrame, entity: str, place: str, within: int, carry: str | None = None) -> DataFrame:
+    """JN-05: ``left`` (entity, place, …) with ``found``: the nearest place of ``right`` at most ``within`` before it, null if none; ``carry`` names a column of ``right`` that comes along.
 
     An as-of join by equality: right rows fall in buckets of ``within`` places, left rows look into their own bucket and the one before.
     """
-    r = right.select(F.col(entity).alias("_e"), F.col(place).alias("_p"), F.floor(F.col(place) / within).alias("_b"))
+    r = right.select(F.col(entity).alias("_e"), F.col(place).alias("_p"), F.floor(F.col(place) / within).alias("_b"), *([F.col(carry).alias("_c")] if carry else []))
     bucket = F.floor((F.col(place) - 1) / within)
     probe = left.withColumn("_b0", F.explode(F.array(bucket, bucket - 1)))
     j = probe.join(r, (F.col(entity) == F.col("_e")) & (F.col("_b0") == F.col("_b")) & (F.col("_p") < F.col(place)) & (F.col("_p") >= F.col(place) - within), "left")
-    return j.groupBy(*left.columns).agg(F.max("_p").alias("found"))
+    return j.groupBy(*left.columns).agg(F.max("_p").alias("found"), *([F.max_by("_c", "_p").alias(carry)] if carry else []))
+
+
+def compact_instructions(lines: DataFrame, within: int = 50) -> DataFrame:
+    """JN-05, CP-04: boundaries (session_id, line) with the nearest user line at most ``within`` lines before whose content is a text with /compact in any case.
+
+    ``found`` is that line's number in the session and ``instructions`` its text, both null if there is none. Only such texts go through the shuffle.
+    """
+    content = F.try_variant_get(readable(F.col("message")), "$.content", "variant")
+    text = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
+    asks = F.lower(F.trim("type")).isin("user", "human") & F.lower(text).contains("/compact")
+    n = numbered(lines.select("session_id", "line", (F.col("subtype") == "compact_boundary").alias("boundary"), F.when(asks, text).alias("instructions")))
+    return nearest_before(n.filter("boundary").select("session_id", "line", "n"), n.filter("instructions is not null"), "session_id", "n", within, "instructions").drop("n")
 
 
 def numbered(lines: DataFrame) -> DataFrame:

@@ -78,11 +78,8 @@ def cp04_compactions(spark, sf):
 @query(f"""with {_L}, n as (select *, row_number() over (partition by session_id order by line) as n from l)
  select b.session_id, b.line, max(u.n) as found from n b left join n u on b.session_id = u.session_id and u.n between b.n - 50 and b.n - 1 and lower(trim(u.type)) in ('user', 'human') where b.subtype = 'compact_boundary' group by 1, 2""")
 def jn05_nearest_user_line(spark, sf):
-    """JN-05: the nearest user line at most 50 lines before a boundary."""
-    n = T.numbered(_lines(spark, sf, "type", "subtype"))
-    b = n.filter("subtype = 'compact_boundary'").select("session_id", "line", "n")
-    u = n.filter("lower(trim(type)) in ('user', 'human')")
-    return T.nearest_before(b, u, "session_id", "n", 50).select("session_id", "line", "found")
+    """JN-05, CP-04: the nearest user line with /compact at most 50 lines before a boundary, and its text. The SQL takes any user line and has no text."""
+    return T.compact_instructions(_lines(spark, sf, "type", "subtype", "message"))
 
 
 @query(f"""with {_L} select session_id, arg_min(version, line) filter (where version is not null) as version, arg_min(git_branch, line) filter (where git_branch is not null) as git_branch,

@@ -1,5 +1,6 @@
 """Queries whose SQL says less than the whole job, against brute force and small cases."""
 
+import json
 from collections import defaultdict
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ from compare import duck
 from pyspark.sql import functions as F
 from test_problems import by_hand
 
-from opstrata.operators import history, sessions
+from opstrata.operators import history, sessions, transcripts
 from opstrata.plans import catalogue
 
 QUERIES = catalogue.queries()
@@ -105,3 +106,18 @@ def test_strategy_of_each_repository(spark, sf, monkeypatch):
     rows = [(repo, k, k % 7 == 0 if k >= 50 else repo == 1) for repo in (1, 2) for k in range(250)] + [(3, k, k < 3) for k in range(20)]
     d = history.strategy(spark.createDataFrame(rows, "r long, k long, m boolean"), F.when(F.col("m"), 2).otherwise(1), "r", "k")
     assert {r.repo: (r.n, r.merges, r.strategy) for r in d.collect()} == strategies(rows) == {1: (200, 28, "time_sampled"), 2: (200, 28, "time_sampled"), 3: (20, 3, "time_sampled")}
+
+
+def test_compact_instructions(spark, sf):
+    user = lambda line, content, kind="user", s="s": (s, line, kind, json.dumps({"role": "user", "content": content}), None)
+    edge = lambda line, s="s": (s, line, "system", None, "compact_boundary")
+    rows = [
+        user(1, "/COMPACT keep the plan"), user(2, "an ordinary line"), user(3, [{"type": "text", "text": "/compact in a list"}]), ("s", 4, "user", '{"content": "/compact cut', None), ("s", 5, "assistant", '{"content": "/compact"}', None), edge(6),
+        user(7, "please /compact now", " Human "), edge(8), user(1, "an ordinary line", s="t"), edge(2, "t"), user(1, "/compact far", s="u"), *[user(k, "x", s="u") for k in range(2, 51)], edge(51, "u"), edge(52, "u"), user(53, "/compact later", s="u"),
+        user(1, {"/compact": "/compact"}, s="v"), ("v", 2, "user", "{}", None), edge(3, "v"),
+    ]
+    d = transcripts.compact_instructions(spark.createDataFrame(rows, "session_id string, line long, type string, message string, subtype string"))
+    assert {(r.session_id, r.line): (r.found, r.instructions) for r in d.collect()} == {
+        ("s", 6): (1, "/COMPACT keep the plan"), ("s", 8): (7, "please /compact now"), ("t", 2): (None, None), ("u", 51): (1, "/compact far"), ("u", 52): (None, None), ("v", 3): (None, None),
+    }
+    assert QUERIES["jn05_nearest_user_line"](spark, sf).filter("found is not null").count() == 0  # the tables have no such text
