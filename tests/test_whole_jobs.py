@@ -121,3 +121,10 @@ def test_compact_instructions(spark, sf):
         ("s", 6): (1, "/COMPACT keep the plan"), ("s", 8): (7, "please /compact now"), ("t", 2): (None, None), ("u", 51): (1, "/compact far"), ("u", 52): (None, None), ("v", 3): (None, None),
     }
     assert QUERIES["jn05_nearest_user_line"](spark, sf).filter("found is not null").count() == 0  # the tables have no such text
+
+
+def test_outputs_keep_ten_thousand_characters(spark, tmp_path):
+    rows = [(n, "PostToolUse", json.dumps({"output": "a" * (n - 1) + "z"})) for n in (500, 501, 10_000, 10_001)]
+    spark.createDataFrame(rows, "id long, event_type string, metadata string").write.parquet(str(tmp_path / "hook_events.parquet"))
+    got = {r.id: (len(r.output), r.output[-1], r.n) for r in QUERIES["src27_shaped_output"](spark, str(tmp_path)).collect()}
+    assert got == {500: (500, "z", 500), 501: (501, "z", 501), 10_000: (10_000, "z", 10_000), 10_001: (10_000, "a", 10_001)}
