@@ -161,13 +161,27 @@ def replay(spark: SparkSession, path: str, events: DataFrame, lateness: str = LA
     return spark.read.schema(ORDERED).parquet(f"{base}/lines")
 
 
+def first_copies(lines: DataFrame) -> DataFrame:
+    """``lines`` without the later copies of a uuid, whatever segments they are in; all lines count, turns or not.
+
+    Segments have dropped their own, so few uuids are left that recur. Their first places are written, so that a small table of them is broadcast.
+    """
+    place = F.struct("seq", "line_in_event", "line_id")
+    first = lines.filter("uuid is not null").groupBy("session_id", "uuid").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("session_id", "uuid", "first")
+    path = shared_dir(lines.sparkSession, "recurring")
+    first.write.parquet(path)
+    again = lines.sparkSession.read.schema(first.schema).parquet(path)
+    return lines.join(again, ["session_id", "uuid"], "left").filter(F.col("first").isNull() | (F.col("first") == place)).drop("first")
+
+
 def validated_turns(lines: DataFrame) -> DataFrame:
     """(session_id, turn_no, uuid, role): the turns of the conversations that are whole, from the lines of closed segments.
 
-    Kept: every message readable, every parent a uuid of the conversation, a user turn, the first turn other than system turns by user, and between
+    A uuid that recurs counts at its first place only, for all that follows. Kept: every message readable, every parent a uuid of the conversation, a user turn, the first turn other than system turns by user, and between
     a user turn and the next (or the end) an assistant turn. A conversation without turns gives no rows. Segments are judged by themselves
     and summed up in one row; only these rows meet over a session, so no task holds the lines of a long session.
     """
+    lines = first_copies(lines)
     place = ["seq", "line_in_event", "line_id"]
     recurs = F.row_number().over(W.partitionBy("session_id", F.coalesce("uuid", F.concat_ws(" ", F.lit("line"), *[F.col(c).cast("string") for c in place]))).orderBy(*place))
     parents = lines.filter("parent_uuid is not null").select("session_id", F.col("parent_uuid").alias("uuid")).distinct()
