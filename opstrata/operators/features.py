@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opstrata.operators.runs import letters_and_digits
+from opstrata.functions.events import letters_and_digits
 
 #: Event types that share a wide row. A type list of any length is laid out in blocks of so many columns, so no plan grows with it.
 BLOCK = 256

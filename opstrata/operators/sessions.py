@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opstrata.functions.events import DEFAULT_SOURCE
+from opstrata.functions.events import DEFAULT_SOURCE, letters_and_digits
 from opstrata.functions.timestamps import CANONICAL
 from opstrata.operators.instants import normalise
-from opstrata.operators.runs import letters_and_digits
 
 HEADER = ["session_id", "sequence_number", "event_type", "tool_type", "duration_ms", "error_message", "source"]
 

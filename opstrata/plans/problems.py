@@ -1,4 +1,4 @@
-"""The pN_ queries of the core: nested records, repeated deliveries, runs, feature table, timestamps."""
+"""The pN_ queries of the core: nested records, repeated deliveries, feature table, timestamps."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opstrata.operators import delivery, features, instants, nested, runs
+from opstrata.operators import delivery, features, instants, nested
 from opstrata.sources.tables import table
 
 NESTED = (("hook_events", "id", "metadata"), ("transcript", "line_id", "message"), ("code_quality_cache", "id", "complexity_metrics_json"))
@@ -34,19 +34,6 @@ def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.kept_deliveries(table(spark, sf_dir, "message_updated")).select("delivery_id", "session_id", F.col("tokens.input").alias("input"), F.col("tokens.output").alias("output"), "cost")
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = table(spark, sf_dir, "hook_events").filter("event_type = 'PostToolUse'")
-    return runs.collapse_runs(post, "session_id", "sequence_number", "id", F.col("tool_name"), F.col("duration_ms"))
-
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).filter("n_events >= 2").select(F.col("entity").alias("session_id"), "first_sequence", "last_sequence")
-
-
-def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).select(F.col("entity").alias("session_id"), F.col("key").alias("tool_key"), "first_sequence", "last_sequence", "n_events", "duration_ms")
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = features.long_table(table(spark, sf_dir, "hook_events"))
     types = features.type_list(long)
@@ -78,8 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_values": _nested("values", ("path", "parent_path", "ordinal", "kind", "value")),
     "p3_found": p3_found,
     "p3_kept": p3_kept,
-    "p4_found": p4_found,
-    "p4_runs": p4_runs,
     "p5_found": p5_found,
     "p5_features": p5_features,
     "p5_long": p5_long,
@@ -90,19 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _KEY = r"lower(regexp_replace(tool_name, '[^\p{L}\p{N}]', '', 'g'))"
 _MSG = r"lower(regexp_replace(message_id, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g'))"
 _RANKED = f"""select *, row_number() over (partition by session_id, {_MSG} order by tokens.input + tokens.output + tokens.reasoning desc nulls last, delivery_id) as rn from message_updated"""
-_RUNS = f"""
-with e as (select distinct session_id, sequence_number as s, id, {_KEY} as k, greatest(coalesce(duration_ms, 0), 0) as ms from hook_events where event_type = 'PostToolUse'),
-b as (select *, case when k = lag(k) over (partition by session_id order by s, id) then 0 else 1 end as begins from e),
-r as (select *, sum(begins) over (partition by session_id order by s, id rows unbounded preceding) as run from b)
-select session_id, min(k) as tool_key, min(s) as first_sequence, max(s) as last_sequence, count(*) as n_events, cast(sum(ms) as bigint) as duration_ms from r group by session_id, run"""
 _LONG = f"""
 with e as (select session_id, {_KEY} as tool_key, id, max(sequence_number) as s, max(duration_ms) as ms, max(exit_code) as c from hook_events where tool_name is not null and session_id is not null group by 1, 2, 3)
 select session_id, tool_key, count(*) as n, max(s) as last_sequence, cast(coalesce(sum(greatest(ms, 0)) filter (where ms is not null), 0) as bigint) as total_ms, count(*) filter (where c <> 0) as failures from e group by 1, 2"""
 ORACLES = {
     "p3_found": f"select delivery_id from ({_RANKED}) where rn > 1",
     "p3_kept": f"select delivery_id, session_id, tokens.input as input, tokens.output as output, cost from ({_RANKED}) where rn = 1",
-    "p4_found": f"select session_id, first_sequence, last_sequence from ({_RUNS}) where n_events >= 2",
-    "p4_runs": _RUNS,
     "p5_found": f"select session_id, {_KEY} as tool_key, max(sequence_number) as last_sequence from hook_events where tool_name is not null group by 1, 2",
     "p5_long": _LONG,
 }

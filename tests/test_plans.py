@@ -5,7 +5,7 @@ import pytest
 from opstrata.plans import catalogue
 
 STREAMS = {n for n in catalogue.queries() if n.startswith("ss0") and n != "ss09_session_gaps"}
-PYTHON = {"p2_found", "p2_objects", "p2_values", "p3_found", "p3_kept", "p4_found", "p4_runs", "p6_found", "p6_instants", "ca18_code_records", "agg12_code_ratios"}
+PYTHON = {"p2_found", "p2_objects", "p2_values", "p3_found", "p3_kept", "p6_found", "p6_instants", "ca18_code_records", "agg12_code_ratios"}
 
 
 def plan(df) -> str:
@@ -28,5 +28,3 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "ReadSchema: struct<id:bigint,session_id:string,event_type:string>" in text
     text = plan(catalogue.queries()["p5_long"](spark, sf))
     assert "metadata" not in text and "git_state" not in text
-    text = plan(catalogue.queries()["p4_found"](spark, sf))
-    assert "EqualTo(event_type,PostToolUse)" in text and "metadata" not in text
