@@ -52,7 +52,7 @@ def _unescape(raw: pa.Array) -> pa.Array:
         return raw
     out = raw.to_pylist()
     for i in hit:
-        out[i] = json.loads(f'"{out[i]}"', strict=False).encode("utf-8", "replace").decode()
+        out[i] = json.loads(f'"{out[i]}"', strict=False).encode("utf-8", "backslashreplace").decode()
     return pa.array(out, pa.string())
 
 
@@ -180,7 +180,7 @@ class Tokens:
         ok[row[~good]] = False
         self.ok = ok
         self.at, self.end, self.kind, self.row, self.level, self.parent, self.within, self.key, self.value = at, end, kind, row, level, parent, within, key, value & ~key
-        self.n = n
+        self.n, self._commas = n, None
 
     @staticmethod
     def _literals(values: pa.Array) -> np.ndarray:
@@ -189,10 +189,11 @@ class Tokens:
     def ordinals(self, tokens: np.ndarray) -> np.ndarray:
         """The place of each token in its array, from 0: how many commas of that array precede it."""
         big = len(self.at) + 1
-        comma = np.flatnonzero(self.kind == COMMA)
-        keys = np.sort(self.level[comma] * big + comma)
+        if self._commas is None:
+            comma = np.flatnonzero(self.kind == COMMA)
+            self._commas = np.sort(self.level[comma] * big + comma)
         lv = self.level[tokens] * big
-        return np.searchsorted(keys, lv + tokens) - np.searchsorted(keys, lv + self.parent[tokens])
+        return np.searchsorted(self._commas, lv + tokens) - np.searchsorted(self._commas, lv + self.parent[tokens])
 
     def names(self, tokens: np.ndarray) -> pa.Array:
         """The field names of values that stand in objects: two tokens before the value."""
@@ -204,45 +205,64 @@ def _paths(t: Tokens, tokens: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarra
     """Path, parent's path and ordinal (-1 in objects) of the given values and, on the way, of every container above them."""
     need = np.zeros(len(t.at), bool)
     need[tokens] = True
-    up = t.parent[tokens]
-    while (up := np.unique(up[up >= 0])).size:
+    up = tokens
+    while (up := t.parent[up]).size:
+        up = np.unique(up[up >= 0])
+        up = up[~need[up]]  # what is needed has its parents on the way already
         need[up] = True
-        up = t.parent[up]
-    all_need = np.flatnonzero(need)
+    need = np.flatnonzero(need)
+    need = need[np.argsort(t.level[need], kind="stable")]
+    cuts = np.searchsorted(t.level[need], np.arange(int(t.level[need[-1]]) + 2)) if len(need) else np.zeros(1, np.int64)
     place = np.full(len(t.at), -1, np.int64)
     ordinal = np.full(len(t.at), -1, np.int32)
-    made: pa.Array = pa.array([], pa.string())
-    count = 0
-    for level in range(int(t.level[all_need].max()) + 1 if len(all_need) else 0):
-        here = all_need[t.level[all_need] == level]
-        if level == 0:
+    levels: list[pa.Array] = [pa.array([], pa.string())]
+    above, begin = levels[0], 0  # the paths of the level above and the place of the first of them
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        here = need[a:b]
+        if not begin and not a:
             new = pa.array([""] * len(here), pa.string())
         else:
             in_array = t.within[here] == ARRAY
-            a, o = here[in_array], here[~in_array]
-            ordinal[a] = t.ordinals(a)
-            steps_a = pc.binary_join_element_wise(made.take(place[t.parent[a]]), "[", pa.array(ordinal[a]).cast(pa.string()), "]", "")
-            above = made.take(place[t.parent[o]])
-            steps_o = pc.binary_join_element_wise(above, pc.if_else(pc.equal(above, ""), "", "."), t.names(o), "")
-            here = np.concatenate([a, o])
+            elements, fields = here[in_array], here[~in_array]
+            ordinal[elements] = t.ordinals(elements)
+            steps_a = pc.binary_join_element_wise(above.take(place[t.parent[elements]] - begin), "[", pa.array(ordinal[elements]).cast(pa.string()), "]", "")
+            over = above.take(place[t.parent[fields]] - begin)
+            steps_o = pc.binary_join_element_wise(over, pc.if_else(pc.equal(over, ""), "", "."), t.names(fields), "")
+            here = np.concatenate([elements, fields])
             new = pa.concat_arrays([steps_a, steps_o])
-        place[here] = count + np.arange(len(here))
-        count += len(here)
-        made = pa.concat_arrays([made, new])
+        place[here] = a + np.arange(len(here))
+        levels.append(new)
+        above, begin = new, a
+    made = pa.concat_arrays(levels)
     paths = made.take(place[tokens])
     parents = t.parent[tokens]
     above = made.take(pa.array(np.where(parents >= 0, place[np.maximum(parents, 0)], 0), mask=parents < 0)) if len(tokens) else pa.array([], pa.string())
     return paths, above, ordinal[tokens]
 
 
-def nodes(texts: pa.Array, want: str = "objects", depth: int = 0) -> pa.Table:
+def nodes(texts: pa.Array, want: str = "objects") -> pa.Table:
     """The nodes of every readable text, by the columns of NODES; ``row`` is the text's place in the column.
 
     want: ``array_objects`` (objects that are elements of arrays), ``objects`` (all objects, the root with an empty path) or ``values``
-    (strings and literals, as written or decoded). A text that is one JSON string is read as the document that the string holds. Null,
-    empty and unreadable texts give no rows.
+    (strings and literals, as written or decoded). A text that is one JSON string is read as the document that the string holds, however often it is
+    wrapped. Null, empty and unreadable texts give no rows. Half a surrogate pair stands as its escape.
     """
-    t = Tokens(texts)
+    row, out = None, []
+    while True:  # once for all texts, then for those within strings
+        t = Tokens(texts)
+        part = _nodes(t, want)
+        if row is not None:
+            part = part.set_column(0, "row", pa.array(row[part["row"].to_numpy()], pa.int64()))
+        out.append(part)
+        root = np.flatnonzero((t.level == 0) & (t.kind == STRING) & t.ok[t.row])
+        if not len(root):
+            return pa.concat_tables(out)
+        row = t.row[root] if row is None else row[t.row[root]]
+        texts = _unescape(_gather(t.data, t.at[root] + 1, t.end[root] - t.at[root] - 2))
+
+
+def _nodes(t: Tokens, want: str) -> pa.Table:
+    """The nodes of tokens that aren't within strings."""
     if want == "array_objects":
         pick = t.value & (t.kind == OBJECT) & (t.within == ARRAY)
     elif want == "objects":
@@ -258,12 +278,4 @@ def nodes(texts: pa.Array, want: str = "objects", depth: int = 0) -> pa.Table:
         value = pc.if_else(pa.array(text), _unescape(raw), raw) if text.any() else raw
     else:
         value = pa.nulls(len(tokens), pa.string())
-    out = pa.table([pa.array(t.row[tokens], pa.int64()), paths, above, pa.array(ordinal, mask=ordinal < 0), kinds, value], schema=NODES)
-    root = np.flatnonzero((t.level == 0) & (t.kind == STRING) & t.ok[t.row])
-    if len(root) and depth < 8:
-        inner = pa.array([json.loads(bytes(t.data[a:b])).encode("utf-8", "replace").decode() for a, b in zip(t.at[root], t.end[root], strict=True)], pa.string())
-        sub = nodes(inner, want, depth + 1)
-        if sub.num_rows:
-            sub = sub.set_column(0, "row", pa.array(t.row[root][sub["row"].to_numpy()], pa.int64()))
-            out = pa.concat_tables([out, sub])
-    return out
+    return pa.table([pa.array(t.row[tokens], pa.int64()), paths, above, pa.array(ordinal, mask=ordinal < 0), kinds, value], schema=NODES)

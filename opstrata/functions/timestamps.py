@@ -106,7 +106,9 @@ def _read(chars: np.ndarray, where: dict[str, tuple[int, int]], host_zone: np.nd
         a, b = where["off"]
         digits = [i for i in range(a + 1, b) if i != a + 3 or b - a != 6]
         v = chars[:, digits].astype(np.int64) - 48
-        minutes = (v[:, 0] * 10 + v[:, 1]) * 60 + (v[:, 2] * 10 + v[:, 3] if len(digits) == 4 else 0)
+        hours, rest = v[:, 0] * 10 + v[:, 1], v[:, 2] * 10 + v[:, 3] if len(digits) == 4 else np.zeros(n, np.int64)
+        minutes = hours * 60 + rest
+        ok &= (hours < 24) & (rest < 60)
         return (local - np.where(chars[:, a] == 45, -1, 1) * minutes * 60) * 1_000_000 + fraction, ok
     out = local.copy()
     if "abbr" in where:
@@ -127,7 +129,7 @@ def _read(chars: np.ndarray, where: dict[str, tuple[int, int]], host_zone: np.nd
 def to_utc_micros(texts: pa.Array, host_zones: pa.Array) -> pa.Array:
     """Microseconds since 1970-01-01 UTC of each text, null where it denotes no instant (null, blank, a word, no such date, no such zone).
 
-    An offset in the text counts first, then a zone it names, else its host's zone; without any, a local time denotes none. Outer white space is ignored.
+    An offset in the text (less than a day, else there is no instant) counts first, then a zone it names, else its host's zone; without any, a local time denotes none. Outer white space is ignored.
     """
     texts = pc.utf8_trim_whitespace(texts.fill_null(""))
     raw = texts.cast(pa.large_binary())

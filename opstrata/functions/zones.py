@@ -1,19 +1,23 @@
-"""Time zones as transition tables, and local times turned into instants by them, whole arrays at a time."""
+"""Time zones as transition tables, and local times turned into instants by them, whole arrays at a time.
+
+The tables are read from the system's compiled zone files (RFC 9636): the changes that a file lists, then those that the rule at its end gives for
+four hundred years, after which the calendar, weekdays included, begins anew. So every year has its offsets.
+"""
 
 from __future__ import annotations
 
 import importlib.metadata
-from datetime import UTC, datetime, timedelta
+import importlib.resources
+import re
+import struct
 from functools import lru_cache
 from pathlib import Path
 from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
 
-#: Years that the tables cover; outside, the first or last offset holds.
-FIRST_YEAR, LAST_YEAR = 1900, 2120
-#: No zone keeps an offset for less time than this, so no change is missed between two probes.
-PROBE_DAYS = 7
+#: Seconds after which the calendar repeats: 400 years, a whole number of weeks.
+CYCLE = 146_097 * 86_400
 # What zone abbreviations stand for, in minutes east of UTC.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "UT": 0, "Z": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180,
@@ -34,31 +38,108 @@ def version() -> str:
         return "unknown"
 
 
+def check(expected: str) -> None:
+    """Raises if this machine's zone tables are of another release than ``expected``, as instants would then depend on where a row is read."""
+    if version() != expected:
+        raise RuntimeError(f"time zone database {version()} here, {expected} at the driver")
+
+
+def _file(zone: str) -> bytes:
+    for place in TZPATH:
+        if (f := Path(place, zone)).is_file():
+            return f.read_bytes()
+    return importlib.resources.files("tzdata").joinpath("zoneinfo", *zone.split("/")).read_bytes()
+
+
+def _listed(raw: bytes) -> tuple[np.ndarray, np.ndarray, int, str]:
+    """(instants of changes, offsets from then on, offset before the first, rule at the end) of a compiled zone."""
+    head = struct.Struct(">4sc15x6l")
+    skip = 0
+    _, v, isut, std, leap, times, types, chars = head.unpack_from(raw)
+    wide = v >= b"2"
+    if wide:  # the second block has times of 64 bits
+        skip = head.size + times * 5 + types * 6 + chars + leap * 8 + std + isut
+        _, v, isut, std, leap, times, types, chars = head.unpack_from(raw, skip)
+    at = skip + head.size
+    n = 8 if wide else 4
+    changes = np.frombuffer(raw, f">i{n}", times, at).astype(np.int64)
+    kinds = np.frombuffer(raw, np.uint8, times, at + times * n)
+    offsets = [struct.unpack_from(">lBB", raw, at + times * (n + 1) + 6 * k)[:2] for k in range(types)]
+    before = next((o for o, summer in offsets if not summer), offsets[0][0] if offsets else 0)
+    rule = raw[at + times * (n + 1) + types * 6 + chars + leap * (n + 4) + std + isut :].strip(b"\n").decode() if wide else ""
+    return changes, np.array([o for o, _ in offsets], np.int64)[kinds], before, rule
+
+
+# The form of rules at the end of zone files (POSIX).
+_NAME, _HMS = r"(?:<[^>]+>|[A-Za-z]+)", r"[+-]?\d+(?::\d+){0,2}"
+_RULE = re.compile(rf"{_NAME}(?P<std>{_HMS})(?:{_NAME}(?P<dst>{_HMS})?,(?P<on>[^,/]+)(?:/(?P<on_at>{_HMS}))?,(?P<off>[^,/]+)(?:/(?P<off_at>{_HMS}))?)?")
+
+
+def _seconds(text: str | None, default: int) -> int:
+    if text is None:
+        return default
+    parts = [int(x) for x in text.lstrip("+-").split(":")]
+    total = sum(x * 60 ** (2 - i) for i, x in enumerate(parts))
+    return -total if text.startswith("-") else total
+
+
+def _day(rule: str, years: np.ndarray) -> np.ndarray:
+    """Days since 1970 on which a date of a rule falls in each year."""
+    first = (years - 1970).astype("datetime64[Y]")
+    january = first.astype("datetime64[D]").astype(np.int64)
+    if rule[0] == "M":
+        month, week, weekday = (int(x) for x in rule[1:].split("."))
+        m = first.astype("datetime64[M]") + (month - 1)
+        start, end = (x.astype("datetime64[D]").astype(np.int64) for x in (m, m + 1))
+        day = start + (weekday - (start + 4)) % 7 + 7 * (week - 1)  # 1970-01-01 was a Thursday, Sunday is 0
+        return np.where(day >= end, day - 7, day)
+    if rule[0] == "J":  # 29 February is never counted
+        leap = ((first + 1).astype("datetime64[D]").astype(np.int64) - january) == 366
+        return january + int(rule[1:]) - 1 + (leap & (int(rule[1:]) >= 60))
+    return january + int(rule)
+
+
+def _ruled(rule: str, after: int) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """(changes, offsets, standard offset) by the rule at a file's end, for 400 years and some, from the year of instant ``after`` on."""
+    m = _RULE.fullmatch(rule)
+    if not m:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    std = -_seconds(m["std"], 0)
+    if m["on"] is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), std
+    dst = -_seconds(m["dst"], 0) if m["dst"] else std + 3600
+    year = int(np.int64(after).astype("datetime64[s]").astype("datetime64[Y]").astype(np.int64)) + 1970
+    years = np.arange(year, year + 403)
+    on = _day(m["on"], years) * 86400 + _seconds(m["on_at"], 7200) - std
+    off = _day(m["off"], years) * 86400 + _seconds(m["off_at"], 7200) - dst
+    changes, offsets = np.concatenate([on, off]), np.repeat([dst, std], len(years))
+    order = np.argsort(changes, kind="stable")
+    return changes[order], offsets[order], std
+
+
 @lru_cache(maxsize=1024)
-def transitions(zone: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """(changes, offsets) of a zone, in seconds: offsets[i] holds from local time changes[i-1] on, before the first change offsets[0].
+def transitions(zone: str) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """(changes, offsets, end) of a zone, in seconds: offsets[i] holds from local time changes[i-1] on, before the first change offsets[0]; from ``end`` on the
+    last CYCLE before it repeats. None: no such zone.
 
     changes are local: a change at instant t from offset a to b counts from t + max(a, b). So a local time that occurs twice is its earlier
-    instant, and one that was skipped is read with the offset before the change. None: no such zone.
+    instant, and one that was skipped is read with the offset before the change.
     """
     try:
-        tz = ZoneInfo(zone)
-    except (KeyError, ValueError, OSError):
+        ZoneInfo(zone)  # refuses names that lead out of the database
+        changes, offsets, before, rule = _listed(_file(zone))
+    except (KeyError, ValueError, OSError, ModuleNotFoundError):
         return None
-    offset = lambda t: int((datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=int(t))).astimezone(tz).utcoffset().total_seconds())
-    start, stop = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (FIRST_YEAR, LAST_YEAR))
-    changes, offsets, before, t = [], [offset(start)], start, start
-    while t < stop:
-        t += PROBE_DAYS * 86400
-        if (now := offset(t)) != offsets[-1]:
-            low, high = before, t
-            while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (mid, high) if offset(mid) == offsets[-1] else (low, mid)
-            changes.append(high + max(offsets[-1], now))
-            offsets.append(now)
-        before = t
-    return np.array(changes, np.int64), np.array(offsets, np.int64)
+    last = int(changes[-1]) if len(changes) else 0
+    more, then, std = _ruled(rule, last)
+    later = more > last
+    if std is not None and not len(changes) and not len(more):
+        before = std
+    changes, offsets = np.concatenate([changes, more[later]]), np.concatenate([[before], offsets, then[later]])
+    real = np.append(True, np.diff(offsets) != 0)  # changes of the name alone don't count
+    changes, offsets = changes[real[1:]], offsets[real]
+    end = int(changes[-1]) if len(more) else 1 << 60
+    return changes + np.maximum(offsets[:-1], offsets[1:]), offsets, end
 
 
 def local_to_utc(seconds: np.ndarray, zone: str) -> tuple[np.ndarray, bool]:
@@ -66,4 +147,6 @@ def local_to_utc(seconds: np.ndarray, zone: str) -> tuple[np.ndarray, bool]:
     table = transitions(zone)
     if table is None:
         return seconds, False
-    return seconds - table[1][np.searchsorted(table[0], seconds, "right")], True
+    changes, offsets, end = table
+    far = seconds - -(-np.maximum(seconds - (end - 86_400), 0) // CYCLE) * CYCLE  # the same place of the calendar within the table
+    return seconds - offsets[np.searchsorted(changes, far, "right")], True

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opstrata.functions import zones
 from opstrata.functions.timestamps import CANONICAL, to_utc_micros
 
 #: Rows of the host table up to which it is sent to every executor; a larger one is joined by shuffle.
@@ -27,11 +28,14 @@ def normalise(df: DataFrame, hosts: DataFrame, record_id: str, text: str, host_i
 
     Rows repeated under an id count once; should they differ, the earliest instant holds. Texts that denote none (null, blank, words, impossible dates,
     local times without any zone) give no row. With ``skip_canonical`` records that are already of the form yyyy-MM-ddTHH:mm:ss.ffffffZ are left out.
-    ``keep`` names a text column that comes along as the second column; records then are told apart by it too.
+    Executors whose zone tables are of another release than the driver's fail instead of giving other instants. ``keep`` names a text column that comes along as the second column; records then are told apart by it too.
     """
     kept = [keep] if keep else []
 
+    release = zones.version()
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zones.check(release)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("record_id"), *map(b.column, kept), to_utc_micros(b.column("text"), b.column("zone_name"))], ["record_id", *kept, "utc_micros"])
 

@@ -4,7 +4,7 @@ import json
 import random
 import re
 from datetime import UTC, datetime, timedelta
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from opstrata.functions.json_nodes import Tokens, nodes
 from opstrata.functions.timestamps import to_utc_micros
-from opstrata.functions.zones import ABBREVIATIONS, local_to_utc, transitions, version
+from opstrata.functions.zones import ABBREVIATIONS, check, local_to_utc, transitions, version
 from opstrata.operators import delivery, features, instants, nested
 from opstrata.plans import problems
 
@@ -97,6 +97,26 @@ def test_flatten_links_children_to_parents(spark):
     assert nested.flatten_json(df.limit(0), "id", "t").count() == 0
 
 
+@pytest.mark.parametrize("wraps", [1, 8, 9, 16])
+def test_documents_in_strings_in_strings(wraps):
+    text = '[{"a":[{}]}]'
+    for _ in range(wraps):
+        text = json.dumps(text)
+    out = nodes(pa.array(["{}", text, None, "[{}]"]), "array_objects")
+    assert sorted(zip(out["row"].to_pylist(), out["path"].to_pylist(), strict=True)) == [(1, "[0]"), (1, "[0].a[0]"), (3, "[0]")]
+
+
+def test_deep_documents():
+    n = 3000
+    out = nodes(pa.array(['[{"a":' * n + "1" + "}]" * n]), "array_objects")
+    assert out.num_rows == n and max(out["path"].to_pylist(), key=len) == "[0]" + ".a[0]" * (n - 1)
+
+
+def test_half_surrogates_keep_names_apart():
+    out = nodes(pa.array(['{"a\\ud800":[{}],"a?":[{}]}']), "array_objects")
+    assert sorted(out["path"].to_pylist()) == ["a?[0]", "a\\ud800[0]"]
+
+
 def test_long_texts_go_through_the_kernels_in_slices(monkeypatch):
     monkeypatch.setattr(nested, "KERNEL_BYTES", 10)
     assert list(nested._slices(pa.array(["x" * 4, "y" * 4, None, "z" * 50, "", "w"]))) == [(0, 3), (3, 4), (4, 6)]
@@ -205,6 +225,7 @@ def test_p6_against_the_standard_library(spark, sf):
         ("2024-07-01T00:00:00+02:00[Asia/Tokyo]", "UTC", "2024-06-30T22:00:00"), ("2024-07-01 00:00:00 CET", "UTC", "2024-06-30T23:00:00"), ("03/04/2025 12:05:00 AM", "UTC", "2025-03-04T00:05:00"),
         ("03.04.2025 12:05:00", "UTC", "2025-04-03T12:05:00"), ("2024-02-30T00:00:00Z", "UTC", None), ("2024-01-01T24:00:00Z", "UTC", None), ("2024-01-01T00:00:00[No/Where]", "UTC", None),
         ("2024-01-01T00:00:00", None, None), ("2024-01-01T00:00:00Z", None, "2024-01-01T00:00:00"), ("", "UTC", None), (None, "UTC", None), ("soon", "UTC", None), ("12345678901", "UTC", None),
+        ("2130-07-01 00:00:00", "Europe/Paris", "2130-06-30T22:00:00"), ("2950-01-01 00:00:00", "Australia/Sydney", "2949-12-31T13:00:00"), ("2024-01-01T00:00:00+99:99", "UTC", None), ("2024-01-01T00:00:00+24:00", "UTC", None), ("2024-01-01T00:00:00-23:59", "UTC", "2024-01-01T23:59:00"),
         (" 1700000000 ", None, "2023-11-14T22:13:20"), ("2024-01-01T00:00:00.1234569Z", "UTC", "2024-01-01T00:00:00.123456"), ("13:00", "UTC", None), ("é024-01-01", "UTC", None), ("x" * 100000, "UTC", None),
     ],
 )
@@ -215,12 +236,14 @@ def test_instants(text, zone, want):
 
 def test_transition_tables_agree_with_zoneinfo():
     rng = np.random.default_rng(2)
-    for zone in ("Europe/Berlin", "America/New_York", "Australia/Sydney", "Africa/Casablanca", "Asia/Kathmandu", "UTC"):
+    for zone in sorted(available_timezones()):
         base = transitions(zone)[0]
-        local = np.concatenate([rng.integers(0, 4_000_000_000, 300), *[base[base > 0][:200] + d for d in (-3601, -1, 0, 1, 1800)]])
+        local = np.concatenate([rng.integers(-62_000_000_000, 253_300_000_000, 60), *[base[:700:3] + d for d in (-3601, -1, 0, 1, 1800)], *[base[-30:] + d for d in (-3601, 0, 1800)]])
         want = [int((datetime(1970, 1, 1) + timedelta(seconds=int(s))).replace(tzinfo=ZoneInfo(zone)).timestamp()) for s in local]
-        assert local_to_utc(local, zone)[0].tolist() == want
-    assert version() and transitions("No/Where") is None
+        assert local_to_utc(local, zone)[0].tolist() == want, zone
+    assert version() and transitions("No/Where") is None and transitions("../etc/passwd") is None
+    with pytest.raises(RuntimeError):
+        check("1970a")
 
 
 def test_normalise_edge_cases(spark):
