@@ -52,6 +52,17 @@ def readable(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def opened(text: Column) -> Column:
+    """As ``readable``, also where the document is wrapped in JSON strings, at any depth.
+
+    A wrap doubles the backslashes of those inside, so n wraps take at least 2 ** n characters and the logarithm of the length bounds them. Only texts that begin with a quote pay.
+    """
+    wrapped = lambda t: F.ltrim(t, F.lit(" \t\r\n")).startswith('"')
+    inner = lambda t, _: F.when(wrapped(t), F.try_variant_get(readable(t), "$", "string")).otherwise(t)
+    levels = F.sequence(F.lit(1), F.floor(F.log2(F.length(text))).cast("int") + 1)
+    return readable(F.when(wrapped(text), F.aggregate(levels, text, inner)).otherwise(text))
+
+
 def at(variant: Column, path: str, kind: str = "string") -> Column:
     """A value inside a VARIANT, null where it is absent or of another kind."""
     return F.try_variant_get(variant, path, kind)

@@ -115,7 +115,7 @@ def pre_post_pairs(events: DataFrame) -> DataFrame:
     is_pre = F.col("event_type") == "PreToolUse"
     answered = is_pre & (F.lead("event_type").over(w) == "PostToolUse")
     caller = F.when(~is_pre & (F.lag("event_type").over(w) == "PreToolUse"), F.lag("id").over(w))
-    e = e.select("*", letters_and_digits(F.col("tool_name")).alias("name"), F.coalesce(answered, F.lit(False)).alias("answered"), caller.alias("caller"))
+    e = e.select("*", F.nullif(letters_and_digits(F.col("tool_name")), F.lit("")).alias("name"), F.coalesce(answered, F.lit(False)).alias("answered"), caller.alias("caller"))
     by_id = e.filter("caller is not null").select(F.col("caller").alias("pre_id"), F.col("id").alias("post_id"), "duration_ms")
     pre = e.filter(is_pre & ~F.col("answered")).select("session_id", (F.col("sequence_number") + 1).alias("sequence_number"), F.col("id").alias("pre_id"), F.col("name").alias("_name"), F.col("tool_type").alias("_type"))
     post = e.filter(~is_pre & F.col("caller").isNull()).select("session_id", "sequence_number", F.col("id").alias("post_id"), "duration_ms", "name", "tool_type")

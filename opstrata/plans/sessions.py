@@ -205,9 +205,12 @@ _BEFORE_POST = """select a.id as pre_id, b.id as post_id, b.duration_ms from {e}
 
 @query(_BEFORE_POST.format(e=_E.format("id, session_id, sequence_number, event_type, tool_type, duration_ms")))
 def jn21_pre_post_pairs(spark, sf):
-    """JN-21 in batch, see ``sessions.pre_post_pairs``. The SQL joins neighbours by tool type only, which leaves out those whose type is dirty on one side."""
+    """JN-21 in batch, see ``sessions.pre_post_pairs``.
+
+    The SQL joins neighbours by tool type only, which leaves out those whose type is dirty on one side and joins different tools of one type.
+    """
     e = table(spark, sf, "hook_events").filter("session_id is not null and event_type in ('PreToolUse', 'PostToolUse')")
-    call = E.at(E.readable(F.col("metadata")), "$.call_id")
+    call = E.at(E.opened(F.col("metadata")), "$.call_id")
     return S.pre_post_pairs(e.select("id", "session_id", "sequence_number", "event_type", "tool_name", "tool_type", "duration_ms", call.alias("call_id"))).select("pre_id", "post_id", "duration_ms")
 
 

@@ -128,3 +128,22 @@ def test_outputs_keep_ten_thousand_characters(spark, tmp_path):
     spark.createDataFrame(rows, "id long, event_type string, metadata string").write.parquet(str(tmp_path / "hook_events.parquet"))
     got = {r.id: (len(r.output), r.output[-1], r.n) for r in QUERIES["src27_shaped_output"](spark, str(tmp_path)).collect()}
     assert got == {500: (500, "z", 500), 501: (501, "z", 501), 10_000: (10_000, "z", 10_000), 10_001: (10_000, "a", 10_001)}
+
+
+def wrapped(doc, times):
+    text = json.dumps(doc)
+    for _ in range(times):
+        text = json.dumps(text)
+    return text
+
+
+def test_call_ids_in_wrapped_payloads(spark, tmp_path):
+    call = lambda id, place, kind, name, types, metadata, ms=None: (id, "s", place, kind, name, types, ms, metadata)
+    rows = [
+        call(1, 1, "PreToolUse", "Bash", "Bash", wrapped({"call_id": "x"}, 1)), call(2, 2, "PreToolUse", "Bash", "Bash", json.dumps({"call_id": "y"})), call(3, 3, "PreToolUse", "Read", "Read", " \t" + wrapped({"call_id": "z"}, 12)),
+        call(4, 4, "PostToolUse", "Bash", "Bash", json.dumps({"call_id": "x"}), 5), call(5, 5, "PostToolUse", "Bash", "Bash", wrapped({"call_id": "y"}, 2), 6), call(6, 6, "PostToolUse", "Read", "Read", wrapped({"call_id": "z"}, 1), 7),
+        call(7, 8, "PreToolUse", "Grep", "Grep", wrapped({"call_id": "w"}, 1)[:-9]), call(8, 9, "PostToolUse", "Grep", "Grep", '"', 8), call(9, 10, "PreToolUse", " ", "Edit", ""), call(10, 11, "PostToolUse", "_", "Glob", None, 9),
+        call(11, 12, "PreToolUse", " ", "Edit", "{}"), call(12, 13, "PostToolUse", "Edit", "Edit", "{}", 10),
+    ]
+    spark.createDataFrame(rows, "id long, session_id string, sequence_number int, event_type string, tool_name string, tool_type string, duration_ms int, metadata string").write.parquet(str(tmp_path / "hook_events.parquet"))
+    assert sorted(tuple(r) for r in QUERIES["jn21_pre_post_pairs"](spark, str(tmp_path)).collect()) == [(1, 4, 5), (2, 5, 6), (3, 6, 7), (7, 8, 8), (11, 12, 10)]
