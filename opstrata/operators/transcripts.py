@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opstrata.functions.events import readable, tool_category
+from opstrata.functions.events import opened, readable, tool_category
 from opstrata.operators.running import previous, running_sum
 
 #: Lines of a session that share a task where lines need their neighbours.
@@ -108,7 +108,7 @@ def compact_instructions(lines: DataFrame, within: int = 50) -> DataFrame:
 
     ``found`` is that line's number in the session and ``instructions`` its text, both null if there is none. Only such texts go through the shuffle.
     """
-    content = F.try_variant_get(readable(F.col("message")), "$.content", "variant")
+    content = F.try_variant_get(opened(F.col("message")), "$.content", "variant")
     text = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
     asks = F.lower(F.trim("type")).isin("user", "human") & F.lower(text).contains("/compact")
     n = numbered(lines.select("session_id", "line", (F.col("subtype") == "compact_boundary").alias("boundary"), F.when(asks, text).alias("instructions")))

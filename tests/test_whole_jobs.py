@@ -147,3 +147,12 @@ def test_call_ids_in_wrapped_payloads(spark, tmp_path):
     ]
     spark.createDataFrame(rows, "id long, session_id string, sequence_number int, event_type string, tool_name string, tool_type string, duration_ms int, metadata string").write.parquet(str(tmp_path / "hook_events.parquet"))
     assert sorted(tuple(r) for r in QUERIES["jn21_pre_post_pairs"](spark, str(tmp_path)).collect()) == [(1, 4, 5), (2, 5, 6), (3, 6, 7), (7, 8, 8), (11, 12, 10)]
+
+
+def test_compact_instructions_in_wrapped_messages(spark):
+    rows = [
+        ("s", 1, "user", wrapped({"content": "/compact once"}, 1), None), ("s", 2, "system", None, "compact_boundary"), ("s", 3, "user", wrapped({"content": "/compact \"deep\" \\ é"}, 10), None), ("s", 4, "user", '"/compact"', None),
+        ("s", 5, "user", wrapped({"content": ["/compact"]}, 2), None), ("s", 6, "user", wrapped({"content": "/compact cut"}, 1)[:-3], None), ("s", 7, "system", wrapped({"content": "x"}, 1), "compact_boundary"),
+    ]
+    d = transcripts.compact_instructions(spark.createDataFrame(rows, "session_id string, line long, type string, message string, subtype string"))
+    assert {r.line: (r.found, r.instructions) for r in d.collect()} == {2: (1, "/compact once"), 7: (3, "/compact \"deep\" \\ é")}
